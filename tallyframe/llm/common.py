@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that one ranking window should hold; the number of buckets follows the row count.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def scratch_root(spark: SparkSession) -> str:
