@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import decontam, mixing, pii, sharding, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_golden_ratio_mix": mixing.op1_golden_ratio_mix,
+    "op2_positional_index": decontam.op2_positional_index,
+    "op4_elias_fano_ids": tokenfile.op4_elias_fano_ids,
+    "op6_boosted_personal_data": pii.op6_boosted_personal_data,
     "op7_rendezvous_shards": sharding.op7_rendezvous_shards,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_positional_index": decontam.OP2_SQL}
