@@ -10,7 +10,10 @@ File layout (little-endian): 8 magic bytes, the header (see HEADER), then the se
 
 from __future__ import annotations
 
+import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +33,9 @@ HEADER = "<IQQQIQQQ"
 #: Every so many set bits, the place of one is kept.
 SELECT_EVERY = 256
 #: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Characters of text that are encoded together.
+TOGETHER = 3_000_000
 
 
 class EliasFano:
@@ -124,24 +129,56 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(), end_id + 1)
-        self.kind, self.known = ("<u2" if size <= 1 << 16 else "<u4"), {}
+        self.kind, self.known = ("<u2" if size <= 1 << 16 else "<u4"), {"": b""}
         self.end = np.array([end_id], self.kind).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        chunks = text.replace("\n", " ").split(" ") if text else []
+    def of_words(self, chunks: list[str]) -> Iterator[bytes]:
+        """Ids of each chunk. Many are encoded as one text and told apart by where their ids come from."""
+        width = int(self.kind[-1])
+        for i in range(0, len(chunks), 500):
+            part = chunks[i : i + 500]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(c) + 1 for c in part])
+            cuts = np.searchsorted(np.array([s for s, _ in coded.offsets]), ends).tolist()
+            data = np.array(coded.ids, self.kind).tobytes()
+            yield from (data[width * s : width * e] for s, e in zip([0, *cuts], cuts, strict=False))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, self.kind).tobytes()
-        return b"".join([*map(known.__getitem__, chunks), self.end])
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        new = list({c for chunks in split for c in chunks} - known.keys())
+        known.update(zip(new, self.of_words(new), strict=True))
+        out = [b"".join([*map(known.__getitem__, chunks), self.end]) for chunks in split]
+        if len(known) > REMEMBERED:  # words met early tend to be the frequent ones
+            for c in new:
+                del known[c]
+        return out
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per worker process and tokenizer; functions come to a worker anew with each task."""
+    held = sys.modules.setdefault("tallyframe_worker", types.ModuleType("tallyframe_worker")).__dict__
+    if (path, end_id) not in held:
+        held[path, end_id] = Encoder(path, end_id)
+    return held[path, end_id]
+
+
+def pieces(rows: list[tuple], most: int) -> Iterator[list[tuple]]:
+    """Runs of rows whose texts, the last field, have ``most`` characters together, or one row."""
+    out, size = [], 0
+    for r in rows:
+        if out and size + len(r[-1]) > most:
+            yield out
+            out, size = [], 0
+        out.append(r)
+        size += len(r[-1])
+    if out:
+        yield out
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -171,7 +208,7 @@ def write_token_files(
     """Encodes all rows into shard files below ``folder`` in ascending ``key`` order and returns the manifest.
 
     Rows go to key ranges of about ``shard_chars`` bytes of text and are sorted there by key and text (null keys
-    last, null texts as empty ones); each range is one task and gives files of that size at most, or of one
+    last, null texts as empty ones); each range is one task and gives files of half as many ids at most, or of one
     document. The manifest has a row per file: part, seq, path, n_docs, n_tokens, base (ids in all files before).
     Rows that repeat are all written. An empty table gives an empty manifest. Other columns aren't read.
     """
@@ -184,7 +221,7 @@ def write_token_files(
     part = F.spark_partition_id().alias("part")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer, end_id)
+        coder = encoder(tokenizer, end_id)
         width = int(coder.kind[-1])
         keys, ids, held, seq, part, done = [], [], 0, 0, 0, []
 
@@ -198,14 +235,15 @@ def write_token_files(
             held, seq = 0, seq + 1
 
         for batch in batches:
-            for p, k, t in zip(*(batch.column(c).to_pylist() for c in ("part", "k", "t")), strict=True):
-                coded = coder.encode(t)
-                if ids and held + len(coded) > shard_chars * width:
-                    flush()
-                part = p
-                keys.append(k)
-                ids.append(coded)
-                held += len(coded)
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("part", "k", "t")), strict=True))
+            for some in pieces(rows, TOGETHER):
+                for (p, k, _), coded in zip(some, coder.encode([t for *_, t in some]), strict=True):
+                    if ids and held + len(coded) > shard_chars // 2 * width:
+                        flush()
+                    part = p
+                    keys.append(k)
+                    ids.append(coded)
+                    held += len(coded)
         if ids:
             flush()
         columns = list(zip(*done, strict=True)) or [()] * 5
