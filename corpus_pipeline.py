@@ -2,25 +2,98 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import mixing, sharding
-from tallyframe.llm.common import stored, sweep
+from tallyframe.llm import decontam, mixing, omh, quality, sharding
+from tallyframe.llm.common import few, recording, remove, scratch_root, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: Scratch tables of the last stage that ran.
+_left: list[str] = []
 
-#: The classifier and the near-duplicate stage can't be put in SQL.
+
+def stage(f: Stage) -> Stage:
+    """A stage that first deletes the scratch tables of the one before: its result has been written by then."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)
+        with recording(_left):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+def row_key(key: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows apart also where a doc_id is null or repeats with another text."""
+    return F.xxhash64(key, text)
+
+
+@stage
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.score_quality(spark, docs, columns=docs.columns).where("keep").select(*docs.columns)
+
+
+@stage
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return omh.deduplicate(spark, docs)
+
+
+@stage
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.find_contamination(spark, docs.select(row_key().alias("row"), "text"), items, key="row")
+    gone = stored(spark, found.where("contaminated").select("row"), "contaminated")
+    keyed = docs.withColumn("row__", row_key())
+    return keyed.join(few(gone), keyed["row__"] == gone["row"], "left_anti").drop("row__")
+
+
+@stage
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words: left out, once or up to three times.
+
+    The mix cuts its last document of a source; here it stays if half of it or more was taken.
+    """
+    rows = docs.withColumn("row__", row_key())
+    taken = mixing.mix(spark, rows, keep=("row__",)).where("size > 0")
+    times = taken.groupBy(F.col("row__").alias("row")).agg(F.round(F.max(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    times = stored(spark, times.where("times > 0"), "mix-times")
+    out = rows.join(few(times), F.col("row__") == F.col("row"))
+    return out.withColumn("time__", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+@stage
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shards."""
+    return sharding.with_shards(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", place_in_shards),
+]
+
+#: The classifier and the near-duplicate stage can't be put in SQL; tests hold the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(spark, stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    out = f"{scratch_root(spark)}/tallyframe-stages/{uuid.uuid4().hex}"
+    for k, (_, f) in enumerate(STAGES):
+        f(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
+        docs = spark.read.parquet(f"{out}/{k}")
     return docs

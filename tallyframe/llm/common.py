@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Lists that take the paths of the scratch tables made while they are here.
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Adds to ``paths`` what scratch tables are made meanwhile."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.remove(paths)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -42,10 +60,20 @@ def stored(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes all scratch tables of earlier operators; call it once their results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tallyframe")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables that nothing reads any more and empties the list."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
+def few(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """``df`` for a broadcast join if it has ``most`` rows at most, else as it is, for a shuffled one.
+
+    For narrow tables that are stored: they are counted here.
+    """
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def buckets_for(rows: int) -> int:

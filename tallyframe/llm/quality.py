@@ -181,12 +181,13 @@ def score_quality(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
     columns = columns or [key]
     model = spark.sparkContext.broadcast((posterior, w, b))  # 32 KB of weights and 729 patterns at most
     inner = [f"c{i}__" for i in range(len(columns))]
+    body = inner[columns.index(text)] if text in columns else "t__"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, w, b = model.value
         for batch in batches:
             good, score = [], []
-            for t in batch.column("t__").to_pylist():
+            for t in batch.column(body).to_pylist():
                 data = (t or "").encode("utf-8", "surrogatepass")
                 m = measures(data)
                 at, value = features(data, m)
@@ -194,7 +195,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
                 score.append(float(1 / (1 + np.exp(-np.clip(w[at] @ value + b, -30, 30)))))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in inner], pa.array(good, pa.float64()), pa.array(score, pa.float64())], names=[*inner, "weak_good", "score"])
 
-    rows = docs.select(*[F.col(c).alias(i) for c, i in zip(columns, inner, strict=True)], F.col(text).alias("t__"))
+    rows = docs.select(*[F.col(c).alias(i) for c, i in zip(columns, inner, strict=True)], *([] if text in columns else [F.col(text).alias(body)]))
     types = dict(rows.dtypes)
     out = rows.mapInArrow(run, ", ".join([*[f"{i} {types[i]}" for i in inner], "weak_good double, score double"]))
     return out.select(*[F.col(i).alias(c) for c, i in zip(columns, inner, strict=True)], "weak_good", "score", (F.col("score") >= least).alias("keep"))

@@ -42,53 +42,42 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["shard"].cast("int")
 
 
-def assign_shards(
-    spark: SparkSession,
-    docs: DataFrame,
-    weights: Sequence[float] = (1.0,) * 8,
-    key: str = "doc_id",
-    text: str = "text",
-    keep: Sequence[str] = (),
-) -> DataFrame:
+def with_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with size, text_crc32, law, shard and grown_shard (see ``assign_shards``); no row moves.
+
+    These columns replace any of the same names.
+    """
+    weights = list(weights)
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns(
+        {
+            "size": (F.octet_length(body) + 1).cast("long"),
+            "text_crc32": F.crc32(body.cast("binary")),
+            "law": F.lit("key"),
+            "shard": rendezvous(F.col(key), weights),
+            "grown_shard": rendezvous(F.col(key), [*weights, sum(weights) / len(weights)]),
+        }
+    )
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shard and slot of every row.
 
-    Returns ``key``, ``keep`` columns, size (UTF-8 bytes of the text, null: none, plus 1), text_crc32
-    (unsigned, of the text's UTF-8; null: of no bytes), law ('key'), shard, slot (gapless from 0 in each
-    shard) and grown_shard (the shard if one more shard of the mean weight is added).
+    Returns ``key``, size (UTF-8 bytes of the text, null: none, plus 1), text_crc32 (unsigned, of the text's
+    UTF-8; null: of no bytes), law ('key'), shard, slot (gapless from 0 in each shard) and grown_shard (the shard
+    if one more shard of the mean weight is added).
 
     The key alone decides the shard: repeated rows and equal keys (null included) share one. Slots follow
     a hash of key, checksum and size; rows that agree in all three take any order among themselves. An
     empty table gives no rows. Other columns of ``docs`` aren't read, whatever their names.
     """
-    weights = list(weights)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key).alias("key__"),
-        *[F.col(c).alias(f"kept__{i}") for i, c in enumerate(keep)],
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        rendezvous(F.col(key), weights).alias("shard"),
-        rendezvous(F.col(key), [*weights, sum(weights) / len(weights)]).alias("grown_shard"),
-    )
-    rows = rows.withColumn(
-        "place__",
-        hash52(F.col("key__"), F.col("text_crc32"), F.col("size")),
-    )
-    # Texts of kept columns stay out of the ranking: it needs only narrow rows.
+    rows = with_shards(docs.select(F.col(key).alias("key__"), F.col(text).alias("text__")), weights, "key__", "text__").drop("text__")
+    rows = rows.withColumn("place__", hash52(F.col("key__"), F.col("text_crc32"), F.col("size")))
     rows = stored(spark, rows, "shards")
     n = buckets_for(rows.count())
     rows = rows.withColumn("range__", F.floor(F.col("place__") * F.lit(n / HASH_RANGE)))
     rows = running_sum(rows, ["shard"], "range__", [F.col("place__"), F.col("key__")], F.lit(1), "slot")
-    return rows.select(
-        F.col("key__").alias(key),
-        *[F.col(f"kept__{i}").alias(c) for i, c in enumerate(keep)],
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        "slot",
-        "grown_shard",
-    )
+    return rows.select(F.col("key__").alias(key), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
