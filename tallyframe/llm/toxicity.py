@@ -12,6 +12,7 @@ training documents hold far more often than others; 'repeated' are toxic documen
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -44,7 +45,7 @@ class Rows:
 
     def __init__(self, texts: Sequence[str | None]):
         known: dict[bytes, tuple[int, int, int]] = {}
-        at, sizes = [], []
+        at, sizes = array("i"), []
         for t in texts:
             own = set(words(t))
             for w in own:
@@ -52,7 +53,7 @@ class Rows:
                     known[w] = slots(w)
                 at.extend(known[w])
             sizes.append(3 * len(own))
-        self.at, self.n = np.array(at, np.int32), len(sizes)
+        self.at, self.n = np.frombuffer(at, np.int32) if at else np.zeros(0, np.int32), len(sizes)
         self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def pick(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
