@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .amounts import stripped
+from .amounts import let, stripped
 from .fixed import DATE_LIKE, LONG_MONTHS, MONTHS, SHORT_MONTHS
 
 # Formats in the order of trial: name, pattern, may be ambiguous.
@@ -46,7 +46,7 @@ def short_year(y: Column, named: bool, as_of: int) -> Column:
 
 def calendar(y: Column, m: Column, d: Column) -> Column:
     """A date or null; invalid days don't raise."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.format_string("%04d-%02d-%02d", y, m, d).try_cast("date")
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
 
 def parse_date(raw: Column, as_of: date, start: Column | None = None, end: Column | None = None) -> Column:
@@ -55,34 +55,45 @@ def parse_date(raw: Column, as_of: date, start: Column | None = None, end: Colum
     ``start`` and ``end`` bound the statement's period: they give years that the text lacks and settle which of
     day and month comes first. ``as_of`` stands for today. Text after the date is ignored.
     """
-    text = stripped(F.coalesce(raw, F.lit("")))
     none = F.lit(None).cast("date")
     start, end = (none if x is None else x for x in (start, end))
-    found = F.lit(None)
-    for name, pattern, maybe in FORMATS:
-        g = [F.regexp_extract(text, rf"(?i)^{pattern}", i).try_cast("int") for i in (1, 2, 3)] if name not in ("DDMON", "DD_MON", "DD/MM") else [F.regexp_extract(text, rf"(?i)^{pattern}", i).try_cast("int") for i in (1, 2)]
-        named = "MON" in name
-        month = month_number(F.regexp_extract(text, rf"(?i)^{pattern}", 2)) if named else g[1]
-        from_start = F.year(start)
-        if name == "YYYY-MM-DD":
-            value = calendar(g[0], g[1], g[2])
-        elif name in ("DDMON", "DD_MON"):
-            year = F.coalesce(from_start, F.year(end), F.lit(as_of.year)) + F.when((F.month(start) >= 11) & (month <= 2), 1).otherwise(0)
-            value = calendar(year, month, g[0])
-        elif name == "DD/MM":
-            year = F.coalesce(from_start, F.lit(as_of.year)) + F.when((F.month(start) == 12) & (month == 1), 1).otherwise(0)
-            value = calendar(year, month, g[0])
-        else:
-            digits = F.length(F.regexp_extract(text, rf"(?i)^{pattern}", 3))
-            year = F.when(digits >= 3, g[2]).otherwise(short_year(g[2], named and name != "DDMONYY", as_of.year))
-            value = calendar(year, month, g[0])
-        value = F.when(text.rlike(rf"(?i)^{pattern}"), value)
+    return let(stripped(F.coalesce(raw, F.lit(""))), lambda text: let(first_match(text, as_of, start, end), lambda found: described(found, as_of)))
+
+
+def first_match(text: Column, as_of: date, start: Column, end: Column) -> Column:
+    """The first format's struct (parsed_date, format_detected, is_ambiguous), or null."""
+    return F.coalesce(*[candidate(text, name, pattern, maybe, as_of, start, end) for name, pattern, maybe in FORMATS])
+
+
+def candidate(text: Column, name: str, pattern: str, maybe: bool, as_of: date, start: Column, end: Column) -> Column:
+    pattern, named = f"(?i)^{pattern}", "MON" in name
+    groups = 2 if name in ("DDMON", "DD_MON", "DD/MM") else 3
+    g = [F.regexp_extract(text, pattern, i).try_cast("int") for i in range(1, groups + 1)]
+    month = month_number(F.regexp_extract(text, pattern, 2)) if named else g[1]
+    if name == "YYYY-MM-DD":
+        value = calendar(g[0], g[1], g[2])
+    elif name in ("DDMON", "DD_MON"):
+        year = F.coalesce(F.year(start), F.year(end), F.lit(as_of.year)) + F.when((F.month(start) >= 11) & (month <= 2), 1).otherwise(0)
+        value = calendar(year, month, g[0])
+    elif name == "DD/MM":
+        year = F.coalesce(F.year(start), F.lit(as_of.year)) + F.when((F.month(start) == 12) & (month == 1), 1).otherwise(0)
+        value = calendar(year, month, g[0])
+    else:
+        digits = F.length(F.regexp_extract(text, pattern, 3))
+        year = F.when(digits >= 3, g[2]).otherwise(short_year(g[2], named and name != "DDMONYY", as_of.year))
+        value = calendar(year, month, g[0])
+
+    def judged(v: Column) -> Column:
         unclear = F.lit(False)
         if maybe and name.startswith("DD") and not named:
-            inside = F.coalesce((value >= start) & (value <= F.date_add(end, GRACE_DAYS)), F.lit(False))
-            unclear = (g[0] <= 12) & (g[1] <= 12) & (g[0] != g[1]) & ~inside
-        candidate = F.when(value.isNotNull(), F.struct(value.alias("parsed_date"), F.lit(name).alias("format_detected"), F.coalesce(unclear, F.lit(False)).alias("is_ambiguous")))
-        found = candidate if name == FORMATS[0][0] else F.coalesce(found, candidate)
+            inside = F.coalesce((v >= start) & (v <= F.date_add(end, GRACE_DAYS)), F.lit(False))
+            unclear = F.coalesce((g[0] <= 12) & (g[1] <= 12) & (g[0] != g[1]) & ~inside, F.lit(False))
+        return F.when(v.isNotNull(), F.struct(v.alias("parsed_date"), F.lit(name).alias("format_detected"), unclear.alias("is_ambiguous")))
+
+    return F.when(text.rlike(pattern), let(value, judged))
+
+
+def described(found: Column, as_of: date) -> Column:
     year = F.year(found["parsed_date"])
     confidence = (
         F.when(found.isNull(), 0.0)
