@@ -87,13 +87,13 @@ TOKENS = """
 items AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_shipdate) - 1 AS n FROM lineitem
 ), cells AS (
-  SELECT l_orderkey AS doc_id, n, l_partkey, 0 AS c, 0.02::DOUBLE AS at, strftime(l_shipdate, '%d/%m/%Y') AS text FROM items
+  SELECT l_orderkey AS doc_id, n, l_partkey, 0 AS c, 0.02::DOUBLE AS pos, strftime(l_shipdate, '%d/%m/%Y') AS text FROM items
   UNION ALL SELECT l_orderkey, n, l_partkey, 1, 0.22::DOUBLE, 'PART ' || l_partkey::VARCHAR FROM items
   UNION ALL SELECT l_orderkey, n, l_partkey, 2, 0.62::DOUBLE, l_quantity::DECIMAL(15,2)::VARCHAR FROM items
   UNION ALL SELECT l_orderkey, n, l_partkey, 3, 0.82::DOUBLE, l_extendedprice::DECIMAL(15,2)::VARCHAR FROM items
 ), tokens AS (
-  SELECT doc_id, (n * 4 + c)::INTEGER AS token, round(at + (l_partkey % 7) * 0.01::DOUBLE, 6) AS x0,
-    round(round(at + (l_partkey % 7) * 0.01::DOUBLE, 6) + 0.05::DOUBLE, 6) AS x1,
+  SELECT doc_id, (n * 4 + c)::INTEGER AS token, round(pos + (l_partkey % 7) * 0.01::DOUBLE, 6) AS x0,
+    round(round(pos + (l_partkey % 7) * 0.01::DOUBLE, 6) + 0.05::DOUBLE, 6) AS x1,
     round(n * 0.03::DOUBLE + c * 0.001::DOUBLE, 6) AS y0, round(round(n * 0.03::DOUBLE + c * 0.001::DOUBLE, 6) + 0.01::DOUBLE, 6) AS y1,
     text, 0.9::DOUBLE + (l_partkey % 10) * 0.01::DOUBLE AS confidence
   FROM cells
