@@ -8,7 +8,8 @@ alignment of their labelled k-mers.
 
 Only links between classes matter, so no bucket emits all its pairs. Round one aligns a maximum spanning forest
 of each bucket. Round two compares each text that isn't in its bucket's main class with the bucket's texts of
-other classes. Buckets are cut into blocks, so none has to fit into one task.
+other classes, inside the task, and emits the links alone. Buckets are cut into blocks, so none has to fit into
+one task.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import few, stored, words
 
 #: Words of a k-mer, k-mers of a sketch, sketches: two texts at similarity 0.8 share a sketch with 0.8^4, so
 #: they meet in none of 16 with a probability of 0.0002, at 0.9 of 3e-8.
 K, TUPLE, SKETCHES = 5, 4, 16
 #: Bins of the signature, and the share of equal bins below which a pair isn't aligned: at similarity 0.8 the
 #: share has a standard deviation of 0.035.
-BINS, LEAST_BINS = 128, 0.6
-BLOCK = 1024
+BINS, LEAST_BINS = 128, 0.65
+BLOCK = 512
 #: Rows of 16-byte keys that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -227,21 +228,50 @@ def spanning_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from ordered_pairs(found)
 
 
-def crossing_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a stray text and a text of another class in one block, with shares of ``LEAST_BINS`` or more."""
+def aligned_share(a: np.ndarray, b: np.ndarray, least: float) -> float:
+    """``similarity`` of two texts by the hashes of their labelled k-mers in text order, or 0 below ``least``."""
+    total = len(a) + len(b)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return 0.0
+    ranked = np.argsort(b, kind="stable")
+    at = np.minimum(np.searchsorted(b, a, sorter=ranked), len(b) - 1)
+    place = ranked[at]
+    there = b[place] == a
+    if there.sum() < least * (total - there.sum()) - 1e-9:
+        return 0.0
+    band = int((1 - least) / (1 + least) * total) + 1
+    i = np.flatnonzero(there)
+    j = place[i]
+    ends: list[int] = []
+    for x in j[np.abs(i - j) <= band].tolist():
+        k = bisect_left(ends, x)
+        if k == len(ends):
+            ends.append(x)
+        else:
+            ends[k] = x
+    return len(ends) / (total - len(ends))
+
+
+def crossing_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links of stray texts with texts of other classes in one block, each class of the block being tied once.
+
+    All pairs that may join two classes are aligned here, so that only links leave the task.
+    """
     found: set[tuple[bytes, bytes]] = set()
     for table in grouped(batches, ["bucket", "salt", "stray_salt"]):
-        ids, classes = table.column("th").to_pylist(), pc.dictionary_encode(table.column("comp").combine_chunks()).indices.to_numpy()
+        ids, classes = table.column("th").to_pylist(), pc.dictionary_encode(table.column("comp").combine_chunks()).indices.to_numpy().copy()
         bins, stray = matrix(table.column("bins").to_pylist()), table.column("stray").to_numpy(zero_copy_only=False).astype(bool)
+        kmers = [np.frombuffer(x, np.uint32) for x in table.column("kmers").to_pylist()]
         members = np.flatnonzero(~stray)
         for i in np.flatnonzero(stray):
-            near = members[(classes[members] != classes[i])]
-            if len(near):
-                for j in near[shares(bins[i], bins[near]) >= LEAST_BINS]:
+            near = members[classes[members] != classes[i]]
+            if not len(near):
+                continue
+            share = shares(bins[i], bins[near])
+            for j in near[share >= LEAST_BINS][np.argsort(-share[share >= LEAST_BINS], kind="stable")]:
+                if classes[i] != classes[j] and aligned_share(kmers[i], kmers[j], least) >= least - 1e-12:
                     found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        if len(found) > 20_000:
-            yield from ordered_pairs(found)
-            found = set()
+                    classes[classes == classes[i]] = classes[j]
     yield from ordered_pairs(found)
 
 
@@ -255,13 +285,16 @@ def members_of(spark: SparkSession, signed_rows: DataFrame) -> DataFrame:
     return stored(spark, shared.join(texts.select("th", "bins"), "th"), "omh-members")
 
 
+def text_ids(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("th"), F.col(text).alias("t"))
+
+
 def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     """The pairs (a, b of text ids) whose texts align to ``least`` or more."""
     pairs = stored(spark, pairs.distinct(), "omh-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    all_texts = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("th"), F.col(text).alias("t"))
-    needed = F.broadcast(needed) if pairs.count() <= BROADCAST_ROWS // 2 else needed
-    texts = stored(spark, all_texts.join(needed, "th", "left_semi").dropDuplicates(["th"]), "omh-needed")
+    needed = few(stored(spark, needed, "omh-needed"), BROADCAST_ROWS)
+    texts = stored(spark, text_ids(docs, text).join(needed, "th", "left_semi").dropDuplicates(["th"]), "omh-pair-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,13 +346,22 @@ def links_of(spark: SparkSession, docs: DataFrame, signed_rows: DataFrame, text:
     main = known.where(F.col("th") == F.col("head")).select("bucket", F.col("comp").alias("main"))
     known = stored(spark, known.join(main, "bucket").withColumn("stray", F.col("comp") != F.col("main")), "omh-known")
     strays = known.where("stray").groupBy("bucket").agg(F.count("*").alias("strays"))
-    known = known.join(strays, "bucket")
+    known = stored(spark, known.join(strays, "bucket"), "omh-open")
+    needed = stored(spark, known.select("th").distinct(), "omh-needed")
+
+    def kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [(hashes(tokens(t)) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(data, pa.binary())], names=["th", "kmers"])
+
+    texts = text_ids(docs, text).join(few(needed, BROADCAST_ROWS), "th", "left_semi").dropDuplicates(["th"])
+    open_texts = stored(spark, texts.mapInArrow(kmers, "th binary, kmers binary"), "omh-kmers")
     own = F.pmod(F.xxhash64("th"), salts("strays")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), salts(n) - 1))
     sides = known.select("bucket", "th", "comp", "bins", mine.alias("salt"), every("strays").alias("stray_salt"), F.lit(False).alias("stray"))
     sides = sides.unionByName(known.where("stray").select("bucket", "th", "comp", "bins", every("n").alias("salt"), own.alias("stray_salt"), F.lit(True).alias("stray")))
-    dealt = sides.repartition("bucket", "salt", "stray_salt").sortWithinPartitions("bucket", "salt", "stray_salt")
-    more = dealt.mapInArrow(crossing_pairs, "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti")
+    dealt = sides.join(open_texts, "th").repartition("bucket", "salt", "stray_salt").sortWithinPartitions("bucket", "salt", "stray_salt")
+    more = dealt.mapInArrow(lambda batches: crossing_links(batches, least), "a binary, b binary")
     return links.unionByName(verified(spark, more, docs, text, least))
 
 
@@ -355,14 +397,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, least: float = 0.8, key: s
     classes = stored(spark, near_classes(spark, docs, least, key, text), "omh-classes")
     rows = docs.withColumns({"text_id__": F.unhex(F.md5(F.col(text).cast("binary")))})
     gone = classes.where("NOT keep").select(F.col(key).alias("key__"), "text_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = few(stored(spark, gone, "omh-gone"), BROADCAST_ROWS)
     on = F.col(key).cast("long").eqNullSafe(F.col("key__")) & (F.col("text_id__") == F.col("text_id"))
     rows = rows.join(gone, on, "left_anti")
     twice = classes.where("keep AND text_id IS NOT NULL").groupBy(key, "text_id").agg(F.count("*").alias("n")).where("n > 1")
-    twice = twice.select(F.col(key).alias("key__"), "text_id")
-    n = twice.count()
-    if n:
-        twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+    twice = stored(spark, twice.select(F.col(key).alias("key__"), "text_id"), "omh-twice")
+    if twice.limit(1).count():
+        twice = few(twice, BROADCAST_ROWS)
         repeated = rows.join(twice, on, "left_semi").dropDuplicates([key, "text_id__"])
         rows = rows.join(twice, on, "left_anti").unionByName(repeated)
     return rows.drop("text_id__")
