@@ -16,7 +16,8 @@ MAX_BYTES, PDF = 50 * 1024 * 1024, b"%PDF"
 
 def uploads(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """Accepted files (doc_hash, path, size, content) and rejected ones with the first reason, in this order:
-    not a PDF, too large, empty. Equal contents are accepted once."""
+    not a PDF, too large, empty. Equal contents are accepted once. Spark's file reader passes over files without any
+    byte, so those are in neither result where they are read from a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     kind = F.substring(F.col("content"), 1, 4)
     reason = (
