@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,38 +16,45 @@ STATS = ("date_rate", "amount_rate", "empty_rate", "text_rate", "mean_length", "
 AMOUNT_ROLES = ("DEBIT", "CREDIT", "SINGLE_AMOUNT", "BALANCE")
 
 
-def sign_change_score(values: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """1 - the share of differences whose sign differs from the one before, from four readable values on; else 0."""
+def turned(values: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """``values`` with d__, the difference to the last readable value before, and turn__, whether its sign differs
+    from the last difference's. Rows without a readable value have neither."""
     number = numeral(F.regexp_replace(F.col(value), r"[£$€,\s]", ""), "double")
-    rows = values.withColumn("v__", number).where("v__ IS NOT NULL")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("d__", F.col("v__") - F.lag("v__").over(w))
-    rows = rows.withColumn("turn__", F.col("d__") * F.lag("d__").over(w) < 0)
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = values.withColumn("v__", number)
+    rows = rows.withColumn("d__", F.col("v__") - F.last("v__", ignorenulls=True).over(before))
+    return rows.withColumn("turn__", F.col("d__") * F.last("d__", ignorenulls=True).over(before) < 0)
+
+
+def turn_score() -> Column:
     diffs = F.count("d__")
-    score = F.when(diffs >= 3, 1 - F.count_if("turn__") / diffs).otherwise(0.0)
-    return rows.groupBy(*keys).agg(F.round(score, 6).alias("monotonic_score"))
+    return F.round(F.when(diffs >= 3, 1 - F.count_if("turn__") / diffs).otherwise(0.0), 6)
+
+
+def sign_change_score(values: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """1 - the share of differences whose sign differs from the one before, from four readable values on; else 0."""
+    return turned(values, keys, order, value).groupBy(*keys).agg(turn_score().alias("monotonic_score"))
 
 
 def column_stats(values: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value") -> DataFrame:
     """Rates of dates, amounts, texts and blanks, mean length, distinctness and turns of each column's values.
 
-    Rates are over the values that aren't empty, but for empty_rate. The columns of a document share its
-    partitioning, so statistics and turns need one exchange each.
+    Rates are over the values that aren't empty, but for empty_rate. Windows and the aggregate share one
+    partitioning by ``keys``.
     """
     v = F.col(value)
     full = v != ""
     n = F.greatest(F.count_if(full), F.lit(1))
     rate = lambda c: F.round(F.count_if(full & c) / n, 6)
-    stats = values.groupBy(*keys).agg(
+    return turned(values, keys, order, value).groupBy(*keys).agg(
         rate(is_date_like(v)).alias("date_rate"),
         rate(is_amount_like(v)).alias("amount_rate"),
         F.round(F.count_if(~full) / F.count("*"), 6).alias("empty_rate"),
         rate(v.rlike(r"^[a-zA-Z\s\-\.]+$") & (F.length(v) > 3)).alias("text_rate"),
         F.round(F.coalesce(F.avg(F.when(full, F.length(v))), F.lit(0.0)), 6).alias("mean_length"),
-        F.round(F.countDistinct(F.when(full, v)) / n, 6).alias("unique_ratio"),
+        F.round(F.size(F.collect_set(F.when(full, v))) / n, 6).alias("unique_ratio"),
+        turn_score().alias("monotonic_score"),
     )
-    turns = sign_change_score(values, keys, order, value)
-    return stats.join(turns, list(keys), "left").withColumn("monotonic_score", F.coalesce("monotonic_score", F.lit(0.0)))
 
 
 def decided(columns: list[dict]) -> list[str]:

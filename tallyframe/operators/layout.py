@@ -25,19 +25,20 @@ def cluster_lines(tokens: DataFrame, page: str = "doc_id", token: str = "token",
     """``tokens`` with line_index: a token joins the line while it is near the line's first token.
 
     The anchor moves only when a line ends, which no window expresses; the fold walks a page's sorted tokens
-    inside ``aggregate``, so it stays in the JVM and a page is never larger than its own array.
+    inside ``aggregate``, so it stays in the JVM, with one exchange and no join.
     """
-    sorted_tokens = F.array_sort(F.collect_list(F.struct(F.col("y0"), F.col("x0"), F.col(token).alias("token"))))
+    rest = [c for c in tokens.columns if c not in (page, "y0", "x0", token)]
+    whole = F.array_sort(F.collect_list(F.struct("y0", "x0", token, *rest)))
 
     def step(acc: Column, t: Column) -> Column:
         new = acc["anchor"].isNull() | (F.abs(t["y0"] - acc["anchor"]) > tolerance)
         line = acc["line"] + new.cast("int")
-        return F.struct(F.when(new, t["y0"]).otherwise(acc["anchor"]).alias("anchor"), line.alias("line"), F.concat(acc["out"], F.array(F.struct(t["token"].alias("token"), line.alias("line")))).alias("out"))
+        return F.struct(F.when(new, t["y0"]).otherwise(acc["anchor"]).alias("anchor"), line.alias("line"), F.concat(acc["out"], F.array(line)).alias("out"))
 
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<struct<token:int,line:int>>").alias("out"))
-    pages = tokens.groupBy(page).agg(sorted_tokens.alias("t")).select(page, F.explode(F.aggregate("t", start, step, lambda acc: acc["out"])).alias("x"))
-    pages = pages.select(F.col(page).alias("page__"), F.col("x.token").alias("token__"), F.col("x.line").alias("line_index"))
-    return tokens.join(pages, (F.col(page) == F.col("page__")) & (F.col(token) == F.col("token__"))).drop("page__", "token__")
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    pages = tokens.groupBy(page).agg(whole.alias("t")).withColumn("lines", F.aggregate("t", start, step, lambda acc: acc["out"]))
+    rows = pages.select(page, F.explode(F.arrays_zip("t", "lines")).alias("x"))
+    return rows.select(page, "x.t.*", F.col("x.lines").alias("line_index"))
 
 
 def build_boxes(tokens: DataFrame, keys: list[str], token: str = "token") -> DataFrame:
@@ -54,10 +55,14 @@ def build_boxes(tokens: DataFrame, keys: list[str], token: str = "token") -> Dat
     )
 
 
+def bin_of(x: Column) -> Column:
+    return F.least(F.floor(x * BINS), F.lit(BINS - 1)).cast("int")
+
+
 def column_histogram(tokens: DataFrame, page: str = "doc_id") -> DataFrame:
     """Tokens per bin of the page's width by their left edge; the last bin holds 1.0."""
     inside = tokens.where((F.col("x0") >= 0) & (F.col("x0") <= 1))
-    return inside.withColumn("bin", F.least(F.floor(F.col("x0") * BINS), F.lit(BINS - 1)).cast("int")).groupBy(page, "bin").agg(F.count("*").alias("n"))
+    return inside.withColumn("bin", bin_of(F.col("x0"))).groupBy(page, "bin").agg(F.count("*").alias("n"))
 
 
 def kernel() -> np.ndarray:
@@ -104,25 +109,21 @@ def column_edges(counts: np.ndarray, n_lines: int) -> list[tuple[float, float]]:
     return [(0.0 if i == 0 else a - 0.01, e) for i, (a, e) in enumerate(zip(at, ends, strict=True))]
 
 
-def detect_columns(tokens: DataFrame, lines: DataFrame | None = None, page: str = "doc_id", line: str = "line_index") -> DataFrame:
+def detect_columns(tokens: DataFrame, page: str = "doc_id", line: str = "line_index") -> DataFrame:
     """Columns (page, column_index, x_start, x_end) of each page with enough tokens.
 
-    Only the histogram, 120 numbers a page, reaches Python.
+    Only the bins of a page's tokens reach Python.
     """
-    lines = tokens if lines is None else lines
-    per_page = lines.groupBy(page).agg(F.countDistinct(line).alias("n_lines"))
-    enough = tokens.groupBy(page).agg(F.count("*").alias("n_tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
-    packed = column_histogram(tokens, page).groupBy(page).agg(F.collect_list(F.struct("bin", "n")).alias("bins"))
-    packed = packed.join(enough, page).join(per_page, page)
+    inside = (F.col("x0") >= 0) & (F.col("x0") <= 1)
+    packed = tokens.groupBy(page).agg(F.collect_list(F.when(inside, bin_of(F.col("x0")))).alias("bins"), F.size(F.collect_set(line)).alias("n_lines"), F.count("*").alias("n_tokens"))
+    packed = packed.where(F.col("n_tokens") >= MIN_TOKENS)
     kind = dict(tokens.dtypes)[page]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for p, bins, n in zip(batch[page], batch["bins"], batch["n_lines"], strict=True):
-                counts = np.zeros(BINS)
-                for b in bins:
-                    counts[b["bin"]] = b["n"]
+                counts = np.bincount(np.asarray(bins, np.int64), minlength=BINS)
                 out += [(p, i, round(a, 6), round(e, 6)) for i, (a, e) in enumerate(column_edges(counts, n))]
             yield pd.DataFrame(out, columns=[page, "column_index", "x_start", "x_end"])
 
