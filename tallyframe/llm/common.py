@@ -3,33 +3,21 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that one ranking window should hold; the number of buckets follows the row count.
-BUCKET_ROWS = 1_000
+from ..sources.scratch import scratch_path as new_path
+from ..sources.scratch import scratch_root
 
+__all__ = ["buckets_for", "few", "in_slices", "packed", "recording", "remove", "running_sum", "scratch_path", "scratch_root", "stored", "words"]
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a temporary folder is set, but only for a local master: the executors of a
-    cluster don't share such a folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+#: Rows that one ranking window should hold; the number of buckets follows the row count.
+BUCKET_ROWS = 1_000
 
 
 #: Lists that take the paths of the scratch tables made while they are here.
@@ -47,7 +35,7 @@ def recording(paths: list[str]) -> Iterator[None]:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_root(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     for paths in _recorders:
         paths.append(path)
     return path
@@ -68,6 +56,11 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """Whole rows in one column, doc__, beside ``more``: then no column of theirs clashes with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc__"), *[c.alias(n) for n, c in more.items()])
+
+
 def few(df: DataFrame, most: int = 400_000) -> DataFrame:
     """``df`` for a broadcast join if it has ``most`` rows at most, else as it is, for a shuffled one.
 
@@ -100,6 +93,31 @@ def running_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequenc
     return ranked.join(sums, on).select(*[c for c in df.columns if c not in ("bucket__", "weight__")], total)
 
 
+def tidy() -> None:
+    """Gives freed memory back; workers live on and would hold their peaks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], size: int = 2_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over slices of about ``size`` bytes of the batches that a task gets, so that few texts become objects at a time."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, step):
+                yield batch.slice(i, step)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(cut(batches))
+        finally:
+            tidy()
+
+    return sliced
+
+
 #: Lower-cases A-Z and turns every byte that can't be in a word ([0-9a-z] or 0x80 and above) into a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)

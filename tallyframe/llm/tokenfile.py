@@ -11,12 +11,14 @@ File layout (little-endian): 8 magic bytes, the header (see HEADER), then the se
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path, stored
+from .common import in_slices, scratch_path, stored
 
 MAGIC = b"TFEFIDS1"
 #: id_bytes, documents, null document ids (these come last), ids, low bits a boundary, bytes of: low, high, samples.
@@ -36,6 +38,8 @@ SELECT_EVERY = 256
 REMEMBERED = 300_000
 #: Characters of text that are encoded together.
 TOGETHER = 3_000_000
+#: Marks that may end a chunk; an apostrophe can belong to a contraction.
+MARKS, DIGITS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', "0123456789"
 
 
 class EliasFano:
@@ -124,8 +128,8 @@ class Shard:
 class Encoder:
     """Ids of whole texts. Chunks between spaces and newlines are encoded once and remembered.
 
-    The tokenizer drops white space and its pattern never matches across any, so a text's ids are those of
-    its chunks, in order. ``tests/llm`` holds this against encoding whole texts.
+    A tokenizer that drops white space and whose pattern never matches across any gives a text the ids of its
+    chunks, in order; others encode texts whole. ``tests/llm`` holds this against encoding whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -134,8 +138,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(), end_id + 1)
-        self.kind, self.known = ("<u2" if size <= 1 << 16 else "<u4"), {"": b""}
+        self.kind, self.known, self.cores = ("<u2" if size <= 1 << 16 else "<u4"), {"": b""}, {"": b""}
         self.end = np.array([end_id], self.kind).tobytes()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: What the tokenizer lets us do: cut at spaces, cut before closing marks, fold capitals.
+        self.cuts = ids("one two,\nthree") == ids("one") + ids("two,") + ids("three")
+        self.parts = ids("one.,") == ids("one") + ids(".,") and ids("1)!") == ids("1") + ids(")!")
+        self.folds = ids("ONE Two") == ids("one two") and not any(t.isalnum() for t in added)
 
     def of_words(self, chunks: list[str]) -> Iterator[bytes]:
         """Ids of each chunk. Many are encoded as one text and told apart by where their ids come from."""
@@ -148,11 +159,39 @@ class Encoder:
             data = np.array(coded.ids, self.kind).tobytes()
             yield from (data[width * s : width * e] for s, e in zip([0, *cuts], cuts, strict=False))
 
+    def of_new(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks by those of their core and tail.
+
+        The pattern parts a letter or digit from the marks after it, and the tokenizer lower-cases; so a chunk that
+        ends in a run of marks has the ids of the rest and of the run, and a capital A-Z is its small letter.
+        """
+        cores, split = self.cores, []
+        for c in chunks:
+            if c.isalnum():  # the most usual case: nothing to part, and no added token, as these hold marks
+                split.append((c.lower() if self.folds and c.isascii() else c, ""))
+                continue
+            core, plain = c, not self.special.search(c)
+            if plain and self.parts:
+                core = c.rstrip(MARKS)
+                # A letter whose small form has two characters may end in a mark itself.
+                if not core or not (core[-1] in DIGITS or core[-1].isalpha() and len(core[-1].lower()) == 1):
+                    core = c
+            split.append((core.lower() if plain and self.folds and core.isascii() else core, c[len(core) :]))
+        new = list(set(chain.from_iterable(split)).difference(cores))
+        cores.update(zip(new, self.of_words(new), strict=True))
+        out = [cores[core] + cores[tail] if tail else cores[core] for core, tail in split]
+        if len(cores) > REMEMBERED:
+            for c in new:
+                del cores[c]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.cuts:
+            return [np.array(x.ids, self.kind).tobytes() + self.end for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         known = self.known
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list({c for chunks in split for c in chunks} - known.keys())
-        known.update(zip(new, self.of_words(new), strict=True))
+        new = list(set(chain.from_iterable(split)).difference(known))
+        known.update(zip(new, self.of_new(new), strict=True))
         out = [b"".join([*map(known.__getitem__, chunks), self.end]) for chunks in split]
         if len(known) > REMEMBERED:  # words met early tend to be the frequent ones
             for c in new:
@@ -249,7 +288,7 @@ def write_token_files(
         columns = list(zip(*done, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "path", "n_docs", "n_tokens"])
 
-    files = rows.select(part, "k", "t").mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long")
+    files = rows.select(part, "k", "t").mapInArrow(in_slices(write, 2 * TOGETHER), "part int, seq int, path string, n_docs long, n_tokens long")
     files = stored(spark, files, "token-files")
     # One row per file: a file for every shard_chars bytes of text.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
