@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import decontam, mixing, omh, quality, sharding
-from tallyframe.llm.common import few, recording, remove, scratch_root, stored
+from tallyframe.llm.common import few, packed, recording, remove, scratch_root, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,8 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.find_contamination(spark, docs.select(row_key().alias("row"), "text"), items, key="row")
     gone = stored(spark, found.where("contaminated").select("row"), "contaminated")
-    keyed = docs.withColumn("row__", row_key())
-    return keyed.join(few(gone), keyed["row__"] == gone["row"], "left_anti").drop("row__")
+    return packed(docs, row__=row_key()).join(few(gone), F.col("row__") == F.col("row"), "left_anti").select("doc__.*")
 
 
 @stage
@@ -63,12 +62,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The mix cuts its last document of a source; here it stays if half of it or more was taken.
     """
-    rows = docs.withColumn("row__", row_key())
-    taken = mixing.mix(spark, rows, keep=("row__",)).where("size > 0")
-    times = taken.groupBy(F.col("row__").alias("row")).agg(F.round(F.max(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    taken = mixing.mix(spark, docs.select(row_key().alias("row"), "source", "text"), keep=("row",)).where("size > 0")
+    times = taken.groupBy("row").agg(F.round(F.max(F.col("taken") / F.col("size"))).cast("int").alias("times"))
     times = stored(spark, times.where("times > 0"), "mix-times")
-    out = rows.join(few(times), F.col("row__") == F.col("row"))
-    return out.withColumn("time__", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    out = packed(docs, row__=row_key()).join(few(times), F.col("row__") == F.col("row"))
+    return out.select("doc__", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select("doc__.*")
 
 
 @stage

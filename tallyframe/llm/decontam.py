@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import in_slices, stored, words
 
 #: Words of one segment, about; a longer document is a segment of its own.
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 500_000
 #: Bytes of benchmark text that are searched at a time.
 BLOCK_BYTES = 16_000_000
 INDEX = "segment string, keys array<bigint>, starts array<bigint>, sizes array<bigint>, terms array<int>, counts array<int>, places binary"
@@ -70,7 +70,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], key: str = "doc_id", t
         if keys:
             yield flush()
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(index, INDEX)
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(in_slices(index), INDEX)
 
 
 def postings(row: dict) -> dict[int, np.ndarray]:
@@ -113,8 +113,24 @@ def windows(items: list[tuple], size: int) -> dict[tuple[bytes, ...], set]:
     return out
 
 
-def search(spark: SparkSession, docs: DataFrame, items: list[tuple], size: int, slop: int, key: str, text: str) -> DataFrame:
-    """Matches of one block of items: every document with ranges of hit words and the items found."""
+RAW = pa.schema([("segment", pa.string()), ("ordinal", pa.int32()), ("k", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+RAW_DDL = "segment string, ordinal int, k long, n_words long, starts array<long>, lengths array<int>, items array<string>"
+FOUND = pa.schema([("k", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("match_starts", pa.list_(pa.int64())), ("match_lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+FOUND_DDL = "k long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, match_starts array<long>, match_lengths array<int>, items array<string>"
+
+
+def digested(r: dict) -> dict:
+    """A document's matches with their counts: words in any range of words, items once each."""
+    items, hit, end = sorted(set(r["items"])), 0, 0
+    matches = sorted(set(zip(r["starts"], r["lengths"], strict=True)))
+    for s, n in matches:
+        hit += max(0, s + n - max(s, end))
+        end = max(end, s + n)
+    return {"k": r["k"], "n_words": r["n_words"], "n_hit": hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest(), "contaminated": hit > 0, "match_starts": [s for s, _ in matches], "match_lengths": [n for _, n in matches], "items": items}
+
+
+def search(spark: SparkSession, docs: DataFrame, items: list[tuple], size: int, slop: int, key: str, text: str, whole: bool) -> DataFrame:
+    """Matches of one block of items in every document: raw ones, or, where the block is the whole benchmark, digested."""
     phrases = windows(items, size)
     terms = {w: i for i, w in enumerate(dict.fromkeys(w for p in phrases for w in p))}
     index = stored(spark, build_index(docs, terms, key, text), "postings")
@@ -130,8 +146,8 @@ def search(spark: SparkSession, docs: DataFrame, items: list[tuple], size: int,
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield from segment(row)
+            for i in range(batch.num_rows):
+                yield from segment(batch.slice(i, 1).to_pylist()[0])
 
     def segment(row: dict) -> Iterator[pa.RecordBatch]:
         lists, starts = postings(row), np.array(row["starts"], np.int64)
@@ -149,12 +165,12 @@ def search(spark: SparkSession, docs: DataFrame, items: list[tuple], size: int,
         out = []
         for d, (k, n) in enumerate(zip(row["keys"], row["sizes"], strict=True)):
             ranges, found = hits.get(d, ((), ()))
-            out.append({"segment": row["segment"], "ordinal": d, "k": k, "n_words": n, "starts": [s for s, _ in ranges], "lengths": [x for _, x in ranges], "items": [str(x) for x in found if x is not None]})
-        schema = pa.schema([("segment", pa.string()), ("ordinal", pa.int32()), ("k", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+            raw = {"segment": row["segment"], "ordinal": d, "k": k, "n_words": n, "starts": [s for s, _ in ranges], "lengths": [x for _, x in ranges], "items": [str(x) for x in found if x is not None]}
+            out.append(digested(raw) if whole else raw)
         for i in range(0, len(out), 5000):
-            yield pa.RecordBatch.from_pylist(out[i : i + 5000], schema)
+            yield pa.RecordBatch.from_pylist(out[i : i + 5000], FOUND if whole else RAW)
 
-    return index.mapInArrow(match, "segment string, ordinal int, k long, n_words long, starts array<long>, lengths array<int>, items array<string>")
+    return index.mapInArrow(in_slices(match), FOUND_DDL if whole else RAW_DDL)
 
 
 def find_contamination(
@@ -187,7 +203,7 @@ def find_contamination(
     for b in range(blocks):
         # An item whole in one block: BLOCK_BYTES on average, read one block at a time.
         mine = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        parts.append(search(spark, docs, [(r["i"], r["t"]) for r in mine.collect()], size, slop, key, text))
+        parts.append(search(spark, docs, [(r["i"], r["t"]) for r in mine.collect()], size, slop, key, text, blocks == 1))
     found = parts[0]
     if blocks > 1:
         for p in parts[1:]:
@@ -196,21 +212,12 @@ def find_contamination(
         # Rows of a document meet by segment and place in it; segments are the same for every block.
         found = found.groupBy("segment", "ordinal", "k", "n_words").agg(flat("starts"), flat("lengths"), flat("items"))
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                items, hit = sorted(set(r["items"])), 0
-                matches = sorted(set(zip(r["starts"], r["lengths"], strict=True)))
-                end = 0
-                for s, n in matches:
-                    hit += max(0, s + n - max(s, end))
-                    end = max(end, s + n)
-                out.append({key: r["k"], "n_words": r["n_words"], "n_hit": hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest(), "contaminated": hit > 0, "match_starts": [s for s, _ in matches], "match_lengths": [n for _, n in matches], "items": items})
-            schema = pa.schema([(key, pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("match_starts", pa.list_(pa.int64())), ("match_lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return found.mapInArrow(digest, f"{key} long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, match_starts array<long>, match_lengths array<int>, items array<string>")
+        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_pylist([digested(r) for r in batch.to_pylist()], FOUND)
+
+        found = found.mapInArrow(in_slices(digest), FOUND_DDL)
+    return found.withColumnRenamed("k", key)
 
 
 DIGEST = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import in_slices, words
 
 #: Public notices, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -149,7 +149,7 @@ def scan_licenses(
             rows = [[dict(zip(("license", "template", "line", "lines", "dice"), x, strict=True)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(rows, kind)], names=["k", "matches"])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(scan, f"k long, {OUT}")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(in_slices(scan), f"k long, {OUT}")
     top = F.try_element_at("matches", F.lit(1))
     return rows.select(
         F.col("k").alias(key),

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, stored, words
+from .common import few, in_slices, packed, stored, words
 
 #: Words of a k-mer, k-mers of a sketch, sketches: two texts at similarity 0.8 share a sketch with 0.8^4, so
 #: they meet in none of 16 with a probability of 0.0002, at 0.9 of 3e-8.
@@ -159,7 +159,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array(sk, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["k", "th", "sketches", "bins"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("th"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "k long, th binary, sketches array<long>, bins binary")
+    return rows.mapInArrow(in_slices(run), "k long, th binary, sketches array<long>, bins binary")
 
 
 PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -303,7 +303,7 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, text: str,
 
     both = pairs.join(texts.select(F.col("th").alias("a"), F.col("t").alias("ta")), "a")
     both = both.join(texts.select(F.col("th").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return stored(spark, both.mapInArrow(run, "a binary, b binary"), "omh-links")
+    return stored(spark, both.mapInArrow(in_slices(run), "a binary, b binary"), "omh-links")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def links_of(spark: SparkSession, docs: DataFrame, signed_rows: DataFrame, text:
             yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(data, pa.binary())], names=["th", "kmers"])
 
     texts = text_ids(docs, text).join(few(needed, BROADCAST_ROWS), "th", "left_semi").dropDuplicates(["th"])
-    open_texts = stored(spark, texts.mapInArrow(kmers, "th binary, kmers binary"), "omh-kmers")
+    open_texts = stored(spark, texts.mapInArrow(in_slices(kmers), "th binary, kmers binary"), "omh-kmers")
     own = F.pmod(F.xxhash64("th"), salts("strays")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), salts(n) - 1))
     sides = known.select("bucket", "th", "comp", "bins", mine.alias("salt"), every("strays").alias("stray_salt"), F.lit(False).alias("stray"))
@@ -394,19 +394,18 @@ def near_classes(spark: SparkSession, docs: DataFrame, least: float = 0.8, key:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, with all columns; of rows that agree in key and text one stays. Null texts all stay."""
-    classes = stored(spark, near_classes(spark, docs, least, key, text), "omh-classes")
-    rows = docs.withColumns({"text_id__": F.unhex(F.md5(F.col(text).cast("binary")))})
-    gone = classes.where("NOT keep").select(F.col(key).alias("key__"), "text_id").distinct()
-    gone = few(stored(spark, gone, "omh-gone"), BROADCAST_ROWS)
-    on = F.col(key).cast("long").eqNullSafe(F.col("key__")) & (F.col("text_id__") == F.col("text_id"))
+    classes = stored(spark, near_classes(spark, docs, least, key, text).select(F.col(key).alias("k"), "text_id", "keep"), "omh-classes")
+    rows = packed(docs, key__=F.col(key).cast("long"), id__=F.unhex(F.md5(F.col(text).cast("binary"))))
+    gone = few(stored(spark, classes.where("NOT keep").select("k", "text_id").distinct(), "omh-gone"), BROADCAST_ROWS)
+    on = F.col("key__").eqNullSafe(F.col("k")) & (F.col("id__") == F.col("text_id"))
     rows = rows.join(gone, on, "left_anti")
-    twice = classes.where("keep AND text_id IS NOT NULL").groupBy(key, "text_id").agg(F.count("*").alias("n")).where("n > 1")
-    twice = stored(spark, twice.select(F.col(key).alias("key__"), "text_id"), "omh-twice")
+    twice = classes.where("keep AND text_id IS NOT NULL").groupBy("k", "text_id").agg(F.count("*").alias("n")).where("n > 1")
+    twice = stored(spark, twice.select("k", "text_id"), "omh-twice")
     if twice.limit(1).count():
         twice = few(twice, BROADCAST_ROWS)
-        repeated = rows.join(twice, on, "left_semi").dropDuplicates([key, "text_id__"])
+        repeated = rows.join(twice, on, "left_semi").dropDuplicates(["key__", "id__"])
         rows = rows.join(twice, on, "left_anti").unionByName(repeated)
-    return rows.drop("text_id__")
+    return rows.select("doc__.*")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

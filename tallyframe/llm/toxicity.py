@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import in_slices, words
 
 CATEGORIES = ("toxic", "repeated", "dense")
 #: Dimensions of the hashed words; labelled rows that train the models, at most: those of the least hashes.
@@ -203,7 +203,7 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays([batch.column("k"), *[pa.array(out[:, c]) for c in range(len(CATEGORIES))]], names=["k", *[f"p_{c}" for c in CATEGORIES]])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    out = rows.mapInArrow(run, "k long, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
+    out = rows.mapInArrow(in_slices(run), "k long, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
     return out.select(F.col("k").alias(key), *[f"p_{c}" for c in CATEGORIES], ((F.col("p_toxic") >= cut) & (F.col("p_toxic") > 0)).alias("toxic"))
 
 
