@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_slices, stored
 
 #: Dimensions of the hashed features.
 DIMENSIONS = 1 << 12
 #: Documents that train the scorer, at most: the least hashes, so reruns agree.
 SAMPLE = 6000
 ROUNDS = 60
-FAULT = 8.0
+#: Start weight of a fault, and priors of a labeller that sees one in a good text or says 'good' of a bad one.
+FAULT, FALSE_ALARM, MISSED, ANCHOR = 8.0, 0.002, 0.7, 5.0
 LABELLERS = ("symbols", "capitals", "pipes", "runs", "repeats", "marks")
 
 #: A byte's class: letters a/A, digits 0, white space as a space, bytes of other characters as letters, the rest as it is.
@@ -61,7 +62,7 @@ def votes(m: tuple[float, ...]) -> list[int]:
         vote(capitals, 0.08, 0.3),
         vote(bars, 0.002, 0.1),
         vote(same, 0.02, 0.15),
-        (-1 if distinct <= 0.12 else 1 if distinct >= 0.3 else 0) if k >= 40 else 0,
+        (-1 if distinct <= 0.04 else 1 if distinct >= 0.3 else 0) if k >= 100 else 0,
         vote(marks, 0.002, 0.1),
     ]
 
@@ -87,8 +88,10 @@ def em(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> dict[t
 
     Labellers are independent given the class; each votes on part of the documents and is right with its own
     probability in either class. Each labeller looks for one fault and says 'good' of texts with other faults, so
-    the start weighs a 'bad' as ``FAULT`` times a 'good'; this also decides which class is 'good'. Pseudo-counts
-    keep rates off 0 and 1.
+    the start weighs a 'bad' as ``FAULT`` times a 'good'; this also decides which class is 'good'. Faults that seldom
+    meet in one text would let the classes run together, so both rates have priors that grow with the votes: false
+    alarms at ``FALSE_ALARM``, weighing ``ANCHOR`` times all votes, faults missed at ``MISSED``, weighing as the votes
+    on bad texts.
     """
     if not patterns:
         return {}
@@ -100,8 +103,10 @@ def em(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> dict[t
         logit = np.full(len(n), np.log(good / bad))
         for j in range(v.shape[1]):
             voted = v[:, j] != 0
-            right = ((n * q)[voted & (v[:, j] == 1)].sum() + 4) / ((n * q)[voted].sum() + 5)
-            wrong = ((n * (1 - q))[voted & (v[:, j] == 1)].sum() + 1) / ((n * (1 - q))[voted].sum() + 3)
+            held = ANCHOR * n[voted].sum() + 5
+            right = ((n * q)[voted & (v[:, j] == 1)].sum() + (1 - FALSE_ALARM) * held) / ((n * q)[voted].sum() + held)
+            rest = (n * (1 - q))[voted].sum()
+            wrong = ((n * (1 - q))[voted & (v[:, j] == 1)].sum() + MISSED * (rest + 5)) / (rest + rest + 5)
             logit += np.where(v[:, j] == 1, np.log(right / wrong), 0) + np.where(v[:, j] == -1, np.log((1 - right) / (1 - wrong)), 0)
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return {p: float(x) for (p, _), x in zip(patterns, q, strict=True)}
@@ -136,7 +141,7 @@ def voted(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("h__"), pa.array(v, pa.list_(pa.int8()))], names=["h__", "votes"])
 
     rows = docs.select(F.xxhash64(*columns).alias("h__"), F.col(text).alias("t__"))
-    return rows.mapInArrow(run, "h__ long, votes array<tinyint>")
+    return rows.mapInArrow(in_slices(run), "h__ long, votes array<tinyint>")
 
 
 def fit(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[dict, np.ndarray, float]:
@@ -163,7 +168,7 @@ def fit(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["h", "good", "at", "value"])
 
     chosen = docs.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("t")).where(F.col("h") <= limit)
-    got = chosen.mapInArrow(describe, "h long, good double, at binary, value binary").dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).collect()
+    got = chosen.mapInArrow(in_slices(describe), "h long, good double, at binary, value binary").dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).collect()
     rows_ = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in got]
     w, b = train(rows_, np.array([r["good"] for r in got]), DIMENSIONS)
     return posterior, w, b
@@ -197,7 +202,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
 
     rows = docs.select(*[F.col(c).alias(i) for c, i in zip(columns, inner, strict=True)], *([] if text in columns else [F.col(text).alias(body)]))
     types = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join([*[f"{i} {types[i]}" for i in inner], "weak_good double, score double"]))
+    out = rows.mapInArrow(in_slices(run), ", ".join([*[f"{i} {types[i]}" for i in inner], "weak_good double, score double"]))
     return out.select(*[F.col(i).alias(c) for c, i in zip(columns, inner, strict=True)], "weak_good", "score", (F.col("score") >= least).alias("keep"))
 
 
