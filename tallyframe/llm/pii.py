@@ -32,13 +32,20 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 DIGITS = r"[0-9][ 0-9-]{11,}[0-9]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: Looser generators: words for the signs of an address, spaced ones, any separators between digit groups.
+#: Looser generators: words for the signs of an address, any separators between digit groups, other prefixes.
 LOOSE = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}+){3}(?![0-9.])",
+    "email": rf"(?i)(?<!{LOCAL}){LOCAL}++(?: ?\(at\) ?| ?\[at\] ?|@)[A-Za-z0-9-]++(?:(?: ?\(dot\) ?| ?\[dot\] ?|\.)[A-Za-z0-9-]++)+",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}+){3}(?![0-9.])",
     "card": r"(?<![0-9])[0-9]{4}+(?:[ ./_-]{1,3}+[0-9]{4}+){3}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00[0-9]{1,3}+|\([0-9]{2,4}+\))[ .-]?[0-9]{2,4}+(?:[ .-][0-9]{2,4}+){1,4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:00[1-9][0-9]{0,2}+[ .-][0-9]{2,4}+(?:[ .-][0-9]{2,4}+){1,3}|\([0-9]{3}+\)[ .-]?[0-9]{3}+[ .-][0-9]{4}+)(?![0-9])",
 }
+#: The base patterns for a whole span.
+WHOLE = {
+    "email": rf"^{LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$",
+    "ip": r"^[0-9]++(?:\.[0-9]++){3}$",
+    "card": r"^[0-9]++(?:[ -][0-9]++){0,18}$",
+}
+
 #: Words that speak for each kind when they stand before a span.
 CUES = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|pay", "phone": "phone|tel|call|mobile|fax"}
 CONTEXT = 24
@@ -137,6 +144,10 @@ def described(kind: str, text: Column, spans: Column, loose: bool) -> Column:
     return F.transform(spans, describe)
 
 
+def unlike(pattern: str):
+    return lambda x: ~x["m"].rlike(pattern)
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's ``key`` and all its candidates, those of the base patterns with loose = 0."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -151,6 +162,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
     rows = rows.select("key__", "text__", *[placed(F.col("text__"), p, F.col(f"hits_{n}")).alias(f"at_{n}") for n, p in patterns.items()])
     rows = rows.withColumn("at_card", card_pieces(F.col("at_card")))
+    # What a base pattern matches whole is among its own candidates.
+    rows = rows.withColumns({f"at_loose_{k}": F.filter(f"at_loose_{k}", unlike(p)) for k, p in WHOLE.items()})
     text_ = F.col("text__")
     parts = [described(k, text_, F.col(f"at_{k}"), False) for k in KINDS] + [described(k, text_, F.col(f"at_loose_{k}"), True) for k in KINDS]
     return rows.select("key__", F.concat(*parts).alias("all__"))
@@ -234,9 +247,13 @@ def fit(found: DataFrame) -> dict[str, tuple[float, list[tuple], float]]:
     hold one; negatives: base matches that fail it.
     """
     good = F.filter("all__", lambda x: (x["loose"] == 0) & x["valid"])
-    rows = found.select("key__", good.alias("good"), F.explode("all__").alias("x")).select("key__", "good", "x")
-    holds = F.exists("good", lambda g: (g["kind"] == F.col("x.kind")) & (g["s"] < F.col("x.e")) & (g["e"] > F.col("x.s")))
-    rows = rows.withColumn("label", holds.cast("int")).where("x.loose = 0 OR label = 1")
+
+    def labelled(x: Column) -> Column:
+        # A row's candidates are labelled in their array; exploding beside the array would copy it to each.
+        holds = F.exists(good, lambda g: (g["kind"] == x["kind"]) & (g["s"] < x["e"]) & (g["e"] > x["s"]))
+        return F.struct(x.alias("x"), F.when(x["loose"] == 0, x["valid"]).otherwise(holds).cast("int").alias("label"))
+
+    rows = found.select("key__", F.explode(F.transform("all__", labelled)).alias("y")).select("key__", "y.x", "y.label").where("x.loose = 0 OR label = 1")
     models = {}
     for kind in KINDS:
         mine = rows.where(F.col("x.kind") == kind).select(*[F.col(f"x.{f}") for f in FEATURES], "label", F.xxhash64("key__", "x.s", "x.e", "x.loose").alias("h"))

@@ -98,3 +98,13 @@ def test_boosting_learns_and_calibrates():
 def test_luhn(spark, digits):
     got = spark.createDataFrame([(digits,)], "d string").select(pii.luhn(F.col("d")).alias("ok")).first()["ok"]
     assert got is luhn(digits)
+
+
+def test_looser_spans_are_added_and_base_ones_stay(spark):
+    texts = [f"mail user{i}@mail{i % 7}.example.com or call +1 (603) 555-87{i:02d}" for i in range(60)]
+    texts += ["write to jane.roe (at) example (dot) org", "card 4111/1111/1111/1111 now", "meet me @ home. Bye", "1. 2. 3. 4. and 5. 6. 7. 8", "in 2019 1234 5678"]
+    got = found(spark, texts)
+    for i, t in enumerate(texts):
+        same(got[i], t)
+    assert got[60]["spans"] == "email:9:40" and got[60]["n_email"] == 0
+    assert [got[i]["spans"] for i in (62, 63, 64)] == ["", "", ""]
