@@ -35,7 +35,7 @@ HEADER = "<IQQQIQQQ"
 #: Every so many set bits, the place of one is kept.
 SELECT_EVERY = 256
 #: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Characters of text that are encoded together.
 TOGETHER = 3_000_000
 #: Marks that may end a chunk; an apostrophe can belong to a contraction.
