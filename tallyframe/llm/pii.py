@@ -281,7 +281,7 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, key: str = "doc_id"
     def score(x: Column) -> Column:
         out = F.lit(-1.0)
         for kind, (base, trees, least) in models.items():
-            # A product of the kinds' separate expressions: a candidate runs those of its own kind.
+            # Each kind has trees of its own; a candidate runs those of its kind.
             total = reduce(lambda a, t: a + F.lit(RATE) * tree_column(t, x), trees, F.lit(base))
             p = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
             ok = F.lit(False) if math.isinf(least) else total >= F.lit(least - 1e-9)
@@ -295,7 +295,7 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, key: str = "doc_id"
         F.array_sort(F.transform(F.filter("all__", lambda x: (x["loose"] == 0) & x["valid"]), lambda x: span(x, F.lit(1.0)))).alias("base"),
         F.filter("all__", lambda x: (x["loose"] == 1) & x["valid"]).alias("more"),
     )
-    # A looser span must clear all base spans and every earlier looser span.
+    # A looser span must clear all base spans.
     free = F.filter(
         F.array_sort(F.transform("more", lambda x: span(x, score(x)))),
         lambda x: (x["score"] > 0) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])),
