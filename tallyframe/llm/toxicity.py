@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -44,14 +43,11 @@ class Rows:
     """Sparse rows: each distinct word of a text adds its features once."""
 
     def __init__(self, texts: Sequence[str | None]):
-        known: dict[bytes, tuple[int, int, int]] = {}
         at, sizes = array("i"), []
         for t in texts:
             own = set(words(t))
             for w in own:
-                if w not in known:
-                    known[w] = slots(w)
-                at.extend(known[w])
+                at.extend(slots(w))
             sizes.append(3 * len(own))
         self.at, self.n = np.frombuffer(at, np.int32) if at else np.zeros(0, np.int32), len(sizes)
         self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -120,17 +116,17 @@ def fit_chain(rows: Rows, targets: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return chain
 
 
-def category_labels(texts: Sequence[str | None], toxic: np.ndarray) -> np.ndarray:
-    """Targets of all categories from the labels of the first."""
-    bad, rest, n_bad = Counter(), Counter(), max(1, int(toxic.sum()))
-    n_rest = max(1, len(toxic) - int(toxic.sum()))
-    for t, y in zip(texts, toxic, strict=True):
-        (bad if y else rest).update(set(words(t)))
-    markers = {w for w, n in bad.items() if n >= 3 and n / n_bad > 20 * (rest[w] + 0.5) / n_rest}
+def category_labels(texts: Sequence[str | None], toxic: np.ndarray, rows: Rows) -> np.ndarray:
+    """Targets of all categories from the labels of the first; markers are hashed words."""
+    word, row = rows.at[0::3], rows.row[0::3]
+    bad = np.bincount(word, toxic[row], minlength=DIMENSIONS)
+    rest = np.bincount(word, minlength=DIMENSIONS) - bad
+    n_bad, n_rest = max(1.0, toxic.sum()), max(1.0, len(toxic) - toxic.sum())
+    markers = (bad >= 3) & (bad / n_bad > 20 * (rest + 0.5) / n_rest)
     out = np.zeros((len(toxic), 3))
     for i, (t, y) in enumerate(zip(texts, toxic, strict=True)):
         own = words(t)
-        hits = sum(w in markers for w in own)
+        hits = markers[np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % DIMENSIONS].sum()
         out[i] = y, y and hits >= REPEATED, y and hits >= DENSE * max(1, len(own))
     return out
 
@@ -151,7 +147,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str, text:
     w, v, bias = fit_linear(*sparse.pick(a), np.zeros((len(a), 0)), toxic[a])
     at, row = sparse.pick(b)
     p = logistic(np.bincount(row, w[at], minlength=len(b)) + bias)
-    return fit_chain(sparse, category_labels(texts, toxic)), threshold(p, toxic[b])
+    return fit_chain(sparse, category_labels(texts, toxic, sparse)), threshold(p, toxic[b])
 
 
 def threshold(p: np.ndarray, y: np.ndarray) -> float:

@@ -71,7 +71,8 @@ def test_chain_sees_out_of_fold_predictions():
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["red", "blue", "green", "idiot" if i % 3 == 0 else "kind"], 12)) for i in range(300)]
     toxic = np.array([float("idiot" in t) for t in texts])
-    chain = toxicity.fit_chain(toxicity.Rows(texts), toxicity.category_labels(texts, toxic))
+    rows = toxicity.Rows(texts)
+    chain = toxicity.fit_chain(rows, toxicity.category_labels(texts, toxic, rows))
     assert [len(v) for _, v, _ in chain] == [0, 1, 2]
 
 
