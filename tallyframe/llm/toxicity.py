@@ -24,7 +24,7 @@ from .common import in_slices, words
 
 CATEGORIES = ("toxic", "repeated", "dense")
 #: Dimensions of the hashed words; labelled rows that train the models, at most: those of the least hashes.
-DIMENSIONS, SAMPLE = 1 << 18, 12_000
+DIMENSIONS, SAMPLE = 1 << 18, 8_000
 FOLDS, ROUNDS, L2 = 3, 150, 1e-5
 #: How strongly a feature must tell the classes apart.
 LEAST_ROOT = 4.0
@@ -83,7 +83,7 @@ def fit_linear(at: np.ndarray, row: np.ndarray, extra: np.ndarray, y: np.ndarray
     if not len(y):
         return w, v, -30.0
     n, used = len(y), telling(at, row, y)
-    keep = used[at]
+    keep = np.flatnonzero(used[at])
     at, row = at[keep], row[keep]
     gw, gv, gb = np.full(DIMENSIONS, 1e-6), np.full(extra.shape[1], 1e-6), 1e-6
     for _ in range(ROUNDS):
@@ -141,8 +141,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str, text:
     texts, toxic = [r["t"] for r in got], np.array([float(r["y"] > 0) for r in got])
     if not got or toxic.min() == toxic.max():
         return [], 1.0
+    del got
     sparse = Rows(texts)
-    held = np.arange(len(got)) % 4 == 0
+    held = np.arange(len(texts)) % 4 == 0
     a, b = np.flatnonzero(~held), np.flatnonzero(held)
     w, v, bias = fit_linear(*sparse.pick(a), np.zeros((len(a), 0)), toxic[a])
     at, row = sparse.pick(b)
