@@ -1,14 +1,19 @@
 """License scans: normalised text against templates by the Dice coefficient over word bigrams.
 
-Candidates are stretches of whole lines. Two bounds prune them without loss: a stretch whose number of
-bigrams is outside t / (2 - t) … (2 - t) / t of a template's can't reach the threshold t, and neither can one
-that shares too few bigrams with the template.
+Candidates are all stretches of words, wherever they start and end. Bounds prune them without loss: a stretch
+whose number of bigrams is outside t / (2 - t) … (2 - t) / t of a template's can't reach the threshold t, neither
+can one that holds fewer than t / (2 - t) of them that are the template's, and the best stretch begins and ends
+with bigrams of the template. A stretch must also hold one of the bigrams that only this license's templates have,
+if the template has any: "SPDX-License-Identifier:" alone names no license.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -77,52 +82,83 @@ class Scanner:
 
     def __init__(self, templates: dict[str, tuple[str, ...]], least: float):
         self.least, self.all = least, []
+        named: dict[tuple, set[str]] = {}
+        for name, texts in templates.items():
+            for t in texts:
+                for g in bigrams(words(t)):
+                    named.setdefault(g, set()).add(name)
         for name, texts in templates.items():
             for i, t in enumerate(texts):
                 grams = bigrams(words(t))
                 n = sum(grams.values())
                 if n:
-                    self.all.append((name, i, grams, n, n * least / (2 - least), n * (2 - least) / least))
+                    # Rounding must not cost a bound its last bigram.
+                    low, high = max(1, math.ceil(n * least / (2 - least) - 1e-9)), n * (2 - least) / least + 1e-9
+                    self.all.append((name, i, grams, n, low, high, {g for g in grams if len(named[g]) == 1}))
         self.by_gram: dict[tuple, list[int]] = {}
         for k, (_, _, grams, *_) in enumerate(self.all):
             for g in grams:
                 self.by_gram.setdefault(g, []).append(k)
-        #: A stretch without any of these words shares no bigram with any template.
-        self.firsts = {g[0] for g in self.by_gram}
-        self.longest = max((x[5] for x in self.all), default=0)
+        #: Templates of one word, whose bigram no longer stretch has.
+        self.single = {g[0] for g in self.by_gram if g[1] == b""}
+
+    def stretches(self, at: list[int], grams: list[tuple], k: int) -> Iterator[tuple[float, int, int]]:
+        """(Dice, first bigram, last bigram) of stretches that reach the threshold, given the template's bigrams in the text."""
+        _, _, template, size, low, high, own = self.all[k]
+        for a in range(len(at) - low + 1):
+            first = at[a]
+            if at[a + low - 1] - first + 1 > high:
+                continue
+            left: dict[tuple, int] = {}
+            both, named = 0, not own
+            for b in range(a, len(at)):
+                n = at[b] - first + 1
+                if n > high:
+                    break
+                g = grams[b]
+                more = left.get(g, template[g])
+                if more:
+                    left[g] = more - 1
+                    both += 1
+                    named = named or g in own
+                    d = 2 * both / (n + size)
+                    if named and d >= self.least:
+                        yield d, first, at[b]
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """Best match of each license: (license, template, first line, lines, Dice), least lines and templates first on ties."""
         if not text:
             return []
-        lines = [words(x) for x in text.split("\n")]
-        gone = self.firsts.isdisjoint
-        shared = []
-        for own in lines:
-            shared.append([] if not own or gone(own) else [g for g in bigrams(own) if g in self.by_gram])
+        own = words(text)
+        by_gram = self.by_gram
+        near: dict[int, tuple[list[int], list[tuple]]] = {}
+        for p, g in enumerate(zip(own, own[1:], strict=False)):
+            if g in by_gram:
+                for k in by_gram[g]:
+                    at, grams = near.setdefault(k, ([], []))
+                    at.append(p)
+                    grams.append(g)
+        if self.single and not self.single.isdisjoint(own):
+            for p, w in enumerate(own):
+                for k in by_gram.get((w, b""), ()):
+                    near.setdefault(k, ([], []))[0].append(p)
+                    near[k][1].append((w, b""))
         best: dict[str, tuple] = {}
-        for start, hits in enumerate(shared):
-            if not hits:
+        ends: list[int] = []
+        for k, (at, grams) in sorted(near.items()):
+            name, i, _, size, low, *_ = self.all[k]
+            if len(at) < low:
                 continue
-            # Templates that could begin here: they share a bigram with this line.
-            near = sorted({k for g in hits for k in self.by_gram[g]})
-            stretch: list[bytes] = []
-            for end in range(start, len(lines)):
-                stretch = stretch + lines[end] if end > start else lines[end]
-                n = max(1, len(stretch) - 1)
-                if n > self.longest:
-                    break
-                if not lines[end]:
+            one = grams[0][1] == b""
+            for d, first, last in self.stretches(at, grams, k):
+                if name in best and -d > best[name][0][0]:
                     continue
-                grams = None
-                for k in near:
-                    name, i, template, size, low, high = self.all[k]
-                    if low <= n <= high:
-                        grams = grams or bigrams(stretch)
-                        d = dice(grams, template)
-                        rank = (-d, end - start, start, i)
-                        if d >= self.least and (name not in best or rank < best[name][0]):
-                            best[name] = (rank, (name, i, start, end - start + 1, d))
+                # The number of words up to the end of each line says in which line a word stands.
+                ends = ends or list(accumulate(len(words(x)) for x in text.split("\n")))
+                start, end = bisect_right(ends, first), bisect_right(ends, last if one else last + 1)
+                rank = (-d, end - start, start, i)
+                if name not in best or rank < best[name][0]:
+                    best[name] = (rank, (name, i, start, end - start + 1, d))
         return sorted((x for _, x in best.values()), key=lambda x: (-x[4], x[0]))
 
 

@@ -103,3 +103,53 @@ def test_license_edges(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
     rows = licenses.scan_licenses(odd_docs).collect()
     assert len(rows) == odd_docs.count() and not any(r["license"] for r in rows)
+
+
+def brute_words(text, least):
+    """Best Dice of any stretch of words with every template, in stretches that hold a bigram of the license's own if there are such."""
+    named = {}
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            for g in licenses.bigrams(licenses.words(t)):
+                named.setdefault(g, set()).add(name)
+    best, own = {}, licenses.words(text)
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            want = licenses.bigrams(licenses.words(t))
+            only = {g for g in want if named[g] == {name}}
+            for a in range(len(own)):
+                for b in range(a + 1, min(len(own), a + 1 + 2 * sum(want.values())) + 1):
+                    grams = licenses.bigrams(own[a:b])
+                    if not only or not only.isdisjoint(grams):
+                        best[name] = max(best.get(name, 0), licenses.dice(grams, want))
+    return {k: round(v, 9) for k, v in best.items() if v >= least}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_scan_equals_brute_force_over_words(seed):
+    rng = np.random.default_rng(seed)
+    notices = [t.split() for texts in licenses.TEMPLATES.values() for t in texts if len(t) < 400]
+    own = []
+    for _ in range(5):
+        notice = [w for w in notices[rng.integers(len(notices))] if rng.random() > 0.08]
+        own += [f"word{rng.integers(9)}" for _ in range(rng.integers(6))] + notice
+    text = "".join(w + ("\n" if rng.random() < 0.05 else " ") for w in own)
+    found = licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)
+    assert {name: round(d, 9) for name, _, _, _, d in found} == brute_words(text, 0.8)
+
+
+def test_notices_inside_long_lines():
+    scan = licenses.Scanner(licenses.TEMPLATES, 0.8).scan
+    assert scan("Copyright 2024 Foo Ltd. Released under the MIT License. All rights reserved worldwide.") == [("MIT", 0, 0, 1, 1.0)]
+    prose = "these words of prose stand on one line beside the notice " * 200
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            assert (name, 1.0) in [(x[0], x[4]) for x in scan(prose + t + " " + prose)]
+    # Lines count from the one in which the stretch begins.
+    assert scan("one\n\n" + prose + "Released under\n\nthe MIT License. " + prose) == [("MIT", 0, 2, 3, 1.0)]
+    assert scan("SPDX-License-Identifier: Zlib") == []
+
+
+def test_templates_of_one_word():
+    scan = licenses.Scanner({"X": ("WTFPL",), "Y": ("Licensed under the WTFPL",)}, 0.8).scan
+    assert scan("some words\nunder WTFPL only") == [("X", 0, 1, 1, 1.0)]
