@@ -2,10 +2,13 @@
 
 1. Generators propose spans with high recall: the four base patterns, and looser ones beside them.
 2. Every candidate gets features of its format and of the text around it.
-3. Boosted trees score candidates. They are trained on the driver from a bounded sample of candidates,
-   whose labels are whether the base patterns and their tests accept them, and become SQL expressions.
-4. Per kind, the least score above which held-out candidates are nearly all right is the threshold.
-   Base spans are always kept; a looser candidate is added if it passes the threshold and overlaps no base span.
+3. Boosted trees score candidates. They are trained on the driver from a bounded sample of the candidates that
+   pass the kind's test on their digits, and become SQL expressions. Base spans are right; looser ones are right or
+   wrong by what stands around and inside them (``likely``), and ``EXAMPLES`` have labels given by hand, so
+   that both classes of looser spans are met in any corpus.
+4. Per kind, the least score above which held-out looser candidates are nearly all right is the threshold.
+   Base spans are always kept; a looser candidate is added if it passes the kind's test and the threshold and
+   overlaps no base span.
 
 Positions count code points; a match's place is the length of the pieces and matches before it, as
 ``split`` and ``regexp_extract_all`` walk a text alike.
@@ -32,12 +35,12 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 DIGITS = r"[0-9][ 0-9-]{11,}[0-9]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: Looser generators: words for the signs of an address, any separators between digit groups, other prefixes.
+#: Looser generators: words for the signs of an address, spaced ones, any separators between digit groups, other prefixes.
 LOOSE = {
-    "email": rf"(?i)(?<!{LOCAL}){LOCAL}++(?: ?\(at\) ?| ?\[at\] ?|@)[A-Za-z0-9-]++(?:(?: ?\(dot\) ?| ?\[dot\] ?|\.)[A-Za-z0-9-]++)+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}+){3}(?![0-9.])",
-    "card": r"(?<![0-9])[0-9]{4}+(?:[ ./_-]{1,3}+[0-9]{4}+){3}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00[1-9][0-9]{0,2}+[ .-][0-9]{2,4}+(?:[ .-][0-9]{2,4}+){1,3}|\([0-9]{3}+\)[ .-]?[0-9]{3}+[ .-][0-9]{4}+)(?![0-9])",
+    "email": rf"(?i)(?<!{LOCAL}){LOCAL}++(?: ?[(\[{{]at[)\]}}] ?| @ | at |@)[A-Za-z0-9-]++(?:(?: ?[(\[{{]dot[)\]}}] ?| dot | \. |\.)[A-Za-z0-9-]++)+",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?: ?\. ?| ?\[\.\] ?| ?\(\.\) ?)[0-9]{1,3}+){3}(?![0-9.])",
+    "card": r"(?<![0-9])[0-9]{4}+(?:(?:[ ./_-]{1,3}+[0-9]{4}+){3}|[ ./_-]{1,3}+[0-9]{6}+[ ./_-]{1,3}+[0-9]{5}+)(?![0-9])",
+    "phone": r"(?<![0-9+])(?:00[1-9][0-9]{0,2}+[ .-]?(?:\([0-9]{1,4}+\)[ .-]?)?[0-9]{1,12}+|\([0-9]{2,5}+\)[ .-]?[0-9]{2,12}+)(?:[ .-][0-9]{2,6}+){0,5}(?![0-9])",
 }
 #: The base patterns for a whole span.
 WHOLE = {
@@ -56,9 +59,29 @@ TREES, RATE, DEPTH = 12, 0.3, 2
 #: Share of held-out candidates above a threshold that must be right.
 PRECISION = 0.98
 
-FEATURES = ("length", "digits", "groups", "letters", "dots", "seps", "spaces", "cue", "edge", "loose")
+FEATURES = ("length", "digits", "groups", "letters", "dots", "seps", "spaces", "cue", "edge", "loose", "tail", "marks", "worded", "named", "kinds", "zeros", "lead", "first")
 HITS = "array<struct<s:int,e:int,m:string>>"
 
+#: Looser spans with labels given by hand: (right ones, wrong ones) of each kind, as what stands before and the span.
+EXAMPLES = {
+    "email": (
+        ("write to |jane.roe (at) example (dot) org", "she is |bob(at)shop.example.com", "or |amy_lee [at] mail [dot] net", "mail: |kim{at}site{dot}com", "contact |tom at example dot com", "then |j.doe at example dot org", "mail |ann @ example . com", "see |r.fox @ mail . net", "it is |lee99(AT)home(DOT)edu"),
+        ("we |look at www.example.com", "they |met at home dot com", "to |arrive at 10.30", "the |price at 5.99", "so |stay at home.Then", "he |was at www.site.org", "for |ten @ 4 . 50", "buy |two @ 3.x9", "then |stop at page.7"),
+    ),
+    "ip": (
+        ("the |10[.]20[.]30[.]40", "from |192(.)168(.)0(.)7", "host |10 . 1 . 2 . 3", "server |172 .16 .0 .9", "address: |8. 8. 4. 4", "at |203[.]0[.]113[.]9", "ip |198. 51. 100. 7"),
+        ("see |1. 2. 3. 4", "in |2 . 4 . 6 . 8", "items |10. 11. 12. 13", "then |5 .6 .7 .8", "steps |1. 20. 30. 40", "list |100. 101. 102. 103", "of |3. 14. 15. 92"),
+    ),
+    "card": (
+        ("card |4111/1111/1111/1111", "pay |5500.0055.5555.5559", "it is |4111_1111_1111_1111", "visa: |4012.8888.8888.1881", "was |5555/5555/5555/4444", "amex |3782/822463/10005", "then |4111 - 1111 - 1111 - 1111", "credit |4012 8888/8888 1881"),
+        ("part |0000/0000/0000/0000", "of |0111.1111.1111.1119", "id |1111_1111_1111_1117", "no |9111/1111/1111/1110", "row |8000.0000.0000.0003", "was |4111/1111.1111_1111", "ref |5500.0055/5555 - 5559", "set |7000/0000/0000/0005"),
+    ),
+    "phone": (
+        ("call |(020) 7946 0958", "is |(0161) 496 0123", "or |(01632) 960123", "at |(603) 555-8791", "fax: |(212) 555.0123", "on |0044 20 7946 0958", "ring |001 603 555 8791", "tel |0049 30 123456", "phone |(91) 123 45 67", "is |0033 1 23 45 67 89", "to |(415)555-2671", "by |0044 (0)20 7946 0958"),
+        ("in |(2019) 1234 5678", "sum |(12) 345 678 90", "of |(1999) 2000 2001", "set |(45) 1234567", "table |(17) 2020 2021 2022", "ref |(10) 100000 200000", "eq |(11) 222 333 444 555", "rows |(3000) 400 500"),
+    ),
+}
+
 
 def placed(text: Column, pattern: str, hits: Column) -> Column:
     """Matches of a pattern as an array of (s, e, m): start, end and text; ``hits`` are its matches' texts."""
@@ -117,8 +140,24 @@ def passes(kind: str, m: Column) -> Column:
     return octets(m) if kind == "ip" else F.lit(True)
 
 
+def likely(kind: str, m: Column, x: dict[str, Column]) -> Column:
+    """Whether a looser span of digits that pass their test is a right one, by its form and the text around it."""
+    cue = x["cue"] == 1
+    if kind == "email":
+        plain = x["worded"] == 0
+        good = x["tail"].between(2, 24) & m.rlike("^[^@ (\\[{]*[A-Za-z]") & F.when(x["marks"] > 0, True).when(cue, True).when(plain, m.rlike(" @ ") & ~m.rlike("[^ ][.][^ ]*$")).otherwise(x["named"] == 1)
+    elif kind == "ip":
+        good = (x["marks"] > 0) | cue
+    elif kind == "card":
+        good = x["first"].between(2, 6) & ((x["kinds"] == 1) | cue)
+    else:
+        nanp = m.rlike("^[(][2-9][0-9]{2}[)][ .-]?[2-9][0-9]{2}[ .-][0-9]{4}$")
+        good = (x["zeros"] == 2) | ((x["zeros"] == 1) & x["digits"].between(9, 11)) | nanp | cue
+    return good & (x["edge"] == 0)
+
+
 def described(kind: str, text: Column, spans: Column, loose: bool) -> Column:
-    """Candidates with features; ``valid``: the kind's test on the digits."""
+    """Candidates with features; ``valid``: the kind's test on the digits; ``right``: base, or likely."""
     count = lambda m, p: F.regexp_count(m, F.lit(p))
 
     def describe(x: Column) -> Column:
@@ -136,9 +175,17 @@ def described(kind: str, text: Column, spans: Column, loose: bool) -> Column:
             "cue": before.rlike(f"(?i)(?:{CUES[kind]})[^A-Za-z0-9]*$").cast("int"),
             "edge": before.rlike("[A-Za-z0-9]$").cast("int") + after.rlike("^[A-Za-z0-9]").cast("int"),
             "loose": F.lit(int(loose)),
+            "tail": F.length(F.regexp_extract(m, "[A-Za-z]*$", 0)),
+            "marks": count(m, r"(?i)[(\[{](?:at|dot|[.])[)\]}]"),
+            "worded": count(m, "(?i) (?:at|dot) "),
+            "named": m.rlike("^[A-Za-z0-9]+[._%+0-9-]").cast("int"),
+            "kinds": F.size(F.array_distinct(F.regexp_extract_all(m, F.lit("[^A-Za-z0-9]+"), F.lit(0)))),
+            "zeros": F.length(F.regexp_extract(m, "^[(]?(0*)", 1)),
+            "lead": F.length(F.regexp_extract(m, "^[(]?([0-9]*)", 1)),
+            "first": F.coalesce(F.substring(digits(m), 1, 1).try_cast("int"), F.lit(-1)),
         }
         return F.struct(
-            F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), passes(kind, m).alias("valid"), *[values[f].cast("int").alias(f) for f in FEATURES]
+            F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), passes(kind, m).alias("valid"), (F.coalesce(likely(kind, m, values), F.lit(False)) if loose else F.lit(True)).alias("right"), *[values[f].cast("int").alias(f) for f in FEATURES]
         )
 
     return F.transform(spans, describe)
@@ -152,7 +199,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Each row's ``key`` and all its candidates, those of the base patterns with loose = 0."""
     body = F.coalesce(F.col(text), F.lit(""))
     patterns = {"email": EMAIL, "ip": IP, "card": DIGITS, "phone": PHONE} | {f"loose_{k}": p for k, p in LOOSE.items()}
-    guards = {"email": body.contains("@"), "ip": body.contains("."), "phone": body.contains("+"), "loose_email": body.contains("@") | body.rlike(r"(?i)[(\[]at[)\]]")}
+    guards = {"email": body.contains("@"), "ip": body.contains("."), "phone": body.contains("+"), "loose_email": body.contains("@") | body.rlike(r"(?i)[(\[{ ]at[)\]} ]"), "loose_phone": body.contains("00") | body.contains("(")}
     digit = body.rlike("[0-9]")
     none = F.array().cast("array<string>")
     rows = docs.select(
@@ -179,7 +226,7 @@ def grow(rows: list[tuple], residual: list[float], weight: list[float], depth: i
     if not depth or len(rows) < 8:
         return leaf
     best = None
-    for f in range(len(FEATURES)):
+    for f in range(len(rows[0])):
         by: dict[int, list[float]] = {}
         for x, r, w in zip(rows, residual, weight, strict=True):
             b = by.setdefault(x[f], [0.0, 0.0])
@@ -239,28 +286,51 @@ def tree_column(tree: tuple, x: Column) -> Column:
     return F.when(x[FEATURES[f]] <= v, tree_column(low, x)).otherwise(tree_column(high, x))
 
 
+def examples(spark: SparkSession) -> dict[str, list[tuple[tuple, int]]]:
+    """Features and label of each kind's ``EXAMPLES``, each between several surroundings."""
+    texts, at = [], []
+    for kind, sides in EXAMPLES.items():
+        for label, side in zip((1, 0), sides, strict=True):
+            for x in side:
+                before, span = x.split("|")
+                for start, end in (("", ""), ("Now ", " and more."), ("Well, all ", ", then\nthe rest")):
+                    texts.append(start + before + span + end)
+                    at.append((kind, len(start + before), len(start + before + span), label))
+    # As one literal, not as rows from Python.
+    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("doc_id", "text"))
+    got = candidates(rows).select("key__", F.explode(F.filter("all__", lambda x: (x["loose"] == 1) & x["valid"])).alias("x")).select("key__", "x.*").collect()
+    out: dict[str, list[tuple[tuple, int]]] = {k: [] for k in KINDS}
+    for r in sorted(got):
+        kind, s, e, label = at[r["key__"]]
+        if r["kind"] == kind and r["s"] < e and s < r["e"]:
+            out[kind].append((tuple(r[f] for f in FEATURES), label))
+    return out
+
+
 def fit(found: DataFrame) -> dict[str, tuple[float, list[tuple], float]]:
-    """Base score, trees and threshold of each kind, from ``SAMPLE`` candidates of it at most.
+    """Base score, trees and threshold of each kind, from ``EXAMPLES`` and ``SAMPLE`` candidates of it at most.
 
-    The sample is the least hashes of the candidates' features and place, the same at every run. A third of
-    it is held out for the threshold. Positives: base spans that pass the kind's test, and looser spans that
-    hold one; negatives: base matches that fail it.
+    The sample is the least hashes of the candidates' features and place, the same at every run, half of it at
+    most base spans and half looser ones. Only candidates that pass the kind's test are in it, as the others are
+    never added; so are looser ones beside base spans only. A third is held out, and its looser ones give
+    the threshold.
     """
     good = F.filter("all__", lambda x: (x["loose"] == 0) & x["valid"])
 
-    def labelled(x: Column) -> Column:
-        # A row's candidates are labelled in their array; exploding beside the array would copy it to each.
-        holds = F.exists(good, lambda g: (g["kind"] == x["kind"]) & (g["s"] < x["e"]) & (g["e"] > x["s"]))
-        return F.struct(x.alias("x"), F.when(x["loose"] == 0, x["valid"]).otherwise(holds).cast("int").alias("label"))
+    def clear(x: Column) -> Column:
+        # A row's candidates are compared in their array; exploding beside the array would copy it to each.
+        return x["valid"] & ((x["loose"] == 0) | ~F.exists(good, lambda g: (g["s"] < x["e"]) & (g["e"] > x["s"])))
 
-    rows = found.select("key__", F.explode(F.transform("all__", labelled)).alias("y")).select("key__", "y.x", "y.label").where("x.loose = 0 OR label = 1")
+    rows = found.select("key__", F.explode(F.filter("all__", clear)).alias("x"))
+    given = examples(found.sparkSession)
     models = {}
     for kind in KINDS:
-        mine = rows.where(F.col("x.kind") == kind).select(*[F.col(f"x.{f}") for f in FEATURES], "label", F.xxhash64("key__", "x.s", "x.e", "x.loose").alias("h"))
-        got = mine.orderBy("h", *FEATURES, "label").limit(SAMPLE).collect()
-        data = [(tuple(r[f] for f in FEATURES), r["label"]) for r in got]
+        mine = rows.where(F.col("x.kind") == kind).select(*[F.col(f"x.{f}") for f in FEATURES], F.col("x.right").cast("int").alias("label"), F.xxhash64("key__", "x.s", "x.e", "x.loose").alias("h"))
+        parts = [mine.where(F.col("loose") == i).orderBy("h", *FEATURES, "label").limit(SAMPLE // 2).collect() for i in (0, 1)]
+        data = given[kind] + [(tuple(r[f] for f in FEATURES), r["label"]) for part in parts for r in part]
         train = [d for i, d in enumerate(data) if i % 3]
-        held = [d for i, d in enumerate(data) if not i % 3]
+        loose = FEATURES.index("loose")
+        held = [d for i, d in enumerate(data) if not i % 3 and d[0][loose]]
         base, trees = boost([x for x, _ in train], [y for _, y in train])
         scores = [base + RATE * sum(value(t, x) for t in trees) for x, _ in held]
         models[kind] = (base, trees, calibrated(scores, [y for _, y in held]))

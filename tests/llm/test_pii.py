@@ -108,3 +108,44 @@ def test_looser_spans_are_added_and_base_ones_stay(spark):
         same(got[i], t)
     assert got[60]["spans"] == "email:9:40" and got[60]["n_email"] == 0
     assert [got[i]["spans"] for i in (62, 63, 64)] == ["", "", ""]
+
+
+RIGHT = [
+    ("email", "write to |jane.roe (at) example (dot) org|"),
+    ("email", "mail |jane.roe at example dot org| please"),
+    ("email", "or |jane @ example . com| then"),
+    ("card", "card |4111/1111/1111/1111| now"),
+    ("card", "amex |3782/822463/10005|"),
+    ("phone", "call |(020) 7946 0958| today"),
+    ("phone", "ring |(0161) 496 0123|."),
+    ("phone", "or |(603) 555-8791| then"),
+    ("phone", "on |0044 20 7946 0958|"),
+    ("ip", "host |10[.]0[.]0[.]1| is up"),
+    ("ip", "server |10 . 0 . 0 . 1| is up"),
+]
+# Spans that pass the kind's test on their digits, and that the generators propose.
+WRONG = ["look at www.example.com now", "buy two at 3.99 each", "stay at home.Then go", "see 10. 11. 12. 13 below", "id 0000/0000/0000/0000 x", "set (2019) 1234 5678"]
+
+
+def test_the_model_selects_looser_spans(spark):
+    texts = [t.replace("|", "") for _, t in RIGHT] + WRONG
+    # Alone, and beside many base spans and looser wrong ones.
+    for more in ([], [f"mail user{i}@mail{i % 7}.example.com or at page.{i % 9}x, 1. 2. 3. {i}, (19{i:02d}) 2000 2001" for i in range(60)]):
+        got = found(spark, texts + more)
+        for i, (kind, t) in enumerate(RIGHT):
+            s = t.index("|")
+            assert got[i]["spans"] == f"{kind}:{s}:{t.rindex('|') - 1}", t
+        for i, t in enumerate(WRONG, len(RIGHT)):
+            assert got[i]["spans"] == "", t
+        for i, t in enumerate(more, len(texts)):
+            assert got[i]["spans"] == f"email:5:{t.index(' or')}", t
+
+
+def test_training_holds_both_classes(spark):
+    given = pii.examples(spark)
+    for kind, sides in pii.EXAMPLES.items():
+        # All examples are proposed, whatever surrounds them, and pass the kind's test.
+        assert [sum(y == label for _, y in given[kind]) for label in (1, 0)] == [3 * len(side) for side in sides]
+    rows = spark.createDataFrame([(i, f"see a{i}@b.org at page.{i}x") for i in range(30)], "doc_id long, text string")
+    for base, trees, least in pii.fit(pii.candidates(rows)).values():
+        assert trees and least < float("inf") and base == base
