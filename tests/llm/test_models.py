@@ -84,3 +84,30 @@ def test_toxicity_edges(spark, odd_docs, no_docs):
         assert len(rows) == odd_docs.count()
     assert not any(r["toxic"] for r in rows)
     assert toxicity.score_toxicity(spark, no_docs, labels).count() == 0
+
+
+def repeated(i):
+    """Junk whose neighbouring words differ: a short phrase, and a line of 40 words, over and over."""
+    phrase = " ".join(f"{w}{'abcdefgh'[i % 8]}" for w in ("blue", "river", "stone", "under", "quiet", "hills"))
+    line = " ".join(f"{'abcdefghij'[n % 10]}{'klmno'[n // 10]}{'pqrstuvw'[i % 8]}" for n in range(40))
+    return (phrase + " ") * 10, (line + "\n") * 20
+
+
+def test_repeated_phrases_and_lines_are_faults():
+    at = quality.LABELLERS.index("repeats")
+    for text in repeated(3):
+        v = quality.votes(quality.measures(text.encode()))
+        assert v[at] == -1 and v[quality.LABELLERS.index("runs")] == 1
+    # A long text of few words that doesn't repeat itself is none, however low its share of distinct words.
+    rng = np.random.default_rng(0)
+    long = " ".join(f"word{n}" for n in rng.integers(0, 600, 30_000))
+    assert len(set(long.split())) / 30_000 < 0.04
+    assert quality.votes(quality.measures(long.encode()))[at] == 1
+
+
+def test_repeated_phrases_and_lines_are_dropped(spark, small):
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    junk = [(-1 - 2 * i - j, t) for i in range(8) for j, t in enumerate(repeated(i))]
+    rows = quality.score_quality(spark, docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string"))).collect()
+    assert not any(r["keep"] or r["weak_good"] >= 0.5 for r in rows if r["doc_id"] < 0)
+    assert np.mean([r["keep"] for r in rows if r["doc_id"] >= 0]) > 0.85
