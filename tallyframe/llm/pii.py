@@ -1,56 +1,70 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-1. Generators propose spans with high recall: the four base patterns, and looser ones beside them.
+1. Generators propose spans with high recall: the four base patterns, looser ones beside them, and long tokens that
+   may be secrets. Candidates of several generators may overlap.
 2. Every candidate gets features of its format and of the text around it.
 3. Boosted trees score candidates. They are trained on the driver from a bounded sample of the candidates that
-   pass the kind's test on their digits, and become SQL expressions. Base spans are right; looser ones are right or
+   pass the kind's test on their digits, and become SQL expressions. Base spans are right; others are right or
    wrong by what stands around and inside them (``likely``), and ``EXAMPLES`` have labels given by hand, so
-   that both classes of looser spans are met in any corpus.
+   that both classes are met in any corpus.
 4. Per kind, the least score above which held-out looser candidates are nearly all right is the threshold.
-   Base spans are always kept; a looser candidate is added if it passes the kind's test and the threshold and
-   overlaps no base span.
+   Base spans are always kept; another candidate is added if it passes the kind's test and the threshold and
+   overlaps no base span. Added spans that overlap are joined into one, so that nothing selected stays readable.
 
 Positions count code points; a match's place is the length of the pieces and matches before it, as
-``split`` and ``regexp_extract_all`` walk a text alike.
+``split`` and ``regexp_extract_all`` walk a text alike. Every step takes time in proportion to the text: repeated
+groups are possessive (Java matches these in a loop, others by recursion), matches are placed by sums over blocks,
+and overlaps are found in sorted order.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that have no base pattern.
+MORE_KINDS = ("secret",)
+ALL_KINDS = KINDS + MORE_KINDS
 
 #: Patterns equal in their matches to the ones of the contract, in forms that take linear time: a run of
 #: name characters or digits is entered at its start only, and never twice.
 LOCAL = r"[A-Za-z0-9._%+-]"
-EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 #: A run that holds digits with any separators; cut at doubled separators it gives the card pattern's matches.
 DIGITS = r"[0-9][ 0-9-]{11,}[0-9]"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: Looser generators: words for the signs of an address, spaced ones, any separators between digit groups, other prefixes.
+#: Looser generators: words for the signs of an address, spaced ones, any separators between digit groups, other
+#: prefixes; tokens of 20 characters and more with a digit among them.
 LOOSE = {
-    "email": rf"(?i)(?<!{LOCAL}){LOCAL}++(?: ?[(\[{{]at[)\]}}] ?| @ | at |@)[A-Za-z0-9-]++(?:(?: ?[(\[{{]dot[)\]}}] ?| dot | \. |\.)[A-Za-z0-9-]++)+",
+    "email": rf"(?i)(?<!{LOCAL}){LOCAL}++(?: ?[(\[{{]at[)\]}}] ?| @ | at |@)[A-Za-z0-9-]++(?:(?: ?[(\[{{]dot[)\]}}] ?| dot | \. |\.)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?: ?\. ?| ?\[\.\] ?| ?\(\.\) ?)[0-9]{1,3}+){3}(?![0-9.])",
     "card": r"(?<![0-9])[0-9]{4}+(?:(?:[ ./_-]{1,3}+[0-9]{4}+){3}|[ ./_-]{1,3}+[0-9]{6}+[ ./_-]{1,3}+[0-9]{5}+)(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[1-9][0-9]{0,2}+[ .-]?(?:\([0-9]{1,4}+\)[ .-]?)?[0-9]{1,12}+|\([0-9]{2,5}+\)[ .-]?[0-9]{2,12}+)(?:[ .-][0-9]{2,6}+){0,5}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,512}+[0-9])[A-Za-z0-9+/_-]{20,512}+(?![A-Za-z0-9+/_-])",
 }
 #: The base patterns for a whole span.
 WHOLE = {
-    "email": rf"^{LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$",
+    "email": rf"^{LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$",
     "ip": r"^[0-9]++(?:\.[0-9]++){3}$",
     "card": r"^[0-9]++(?:[ -][0-9]++){0,18}$",
 }
 
 #: Words that speak for each kind when they stand before a span.
-CUES = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|pay", "phone": "phone|tel|call|mobile|fax"}
+CUES = {
+    "email": "mail|contact|write",
+    "ip": "ip|host|server|address",
+    "card": "card|visa|credit|pay",
+    "phone": "phone|tel|call|mobile|fax",
+    "secret": "token|secret|password|passwd|pwd|api[ _-]?key|access[ _-]?key|auth|bearer|credential",
+}
 CONTEXT = 24
 
 #: Candidates of each kind that the driver trains on, at most.
@@ -58,9 +72,12 @@ SAMPLE = 4000
 TREES, RATE, DEPTH = 12, 0.3, 2
 #: Share of held-out candidates above a threshold that must be right.
 PRECISION = 0.98
+#: Matches whose lengths are summed together.
+BLOCK = 128
+#: Added spans that a broadcast may hold.
+BROADCAST_SPANS = 400_000
 
-FEATURES = ("length", "digits", "groups", "letters", "dots", "seps", "spaces", "cue", "edge", "loose", "tail", "marks", "worded", "named", "kinds", "zeros", "lead", "first")
-HITS = "array<struct<s:int,e:int,m:string>>"
+HITS = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
 
 #: Looser spans with labels given by hand: (right ones, wrong ones) of each kind, as what stands before and the span.
 EXAMPLES = {
@@ -80,140 +97,157 @@ EXAMPLES = {
         ("call |(020) 7946 0958", "is |(0161) 496 0123", "or |(01632) 960123", "at |(603) 555-8791", "fax: |(212) 555.0123", "on |0044 20 7946 0958", "ring |001 603 555 8791", "tel |0049 30 123456", "phone |(91) 123 45 67", "is |0033 1 23 45 67 89", "to |(415)555-2671", "by |0044 (0)20 7946 0958"),
         ("in |(2019) 1234 5678", "sum |(12) 345 678 90", "of |(1999) 2000 2001", "set |(45) 1234567", "table |(17) 2020 2021 2022", "ref |(10) 100000 200000", "eq |(11) 222 333 444 555", "rows |(3000) 400 500"),
     ),
+    "secret": (
+        ('token = "|04dbebab91ab85687d33eeaaf9ac699e1188f962', "api_key: |Zx81kfP0qLmN27rTyUwVb3", "password=|h7Gk29sLqP0zXcV5bNmA1dF", "Bearer |eyJhbGciOiJIUzI1NiIsInR5cCI6", "key |9f86d081884c7d659a2feaa0c55ad015", "secret: |wJalrXUtnFEMI/K7MDENG/bPxRfiCY0", "is |e3b0c44298fc1c149afbf4c8996fb92427ae41e4"),
+        ("see |chapter-10-section-4-paragraph-2", "file |2024/annual/reports/final", "the |one-two-three-four-five-6", "in |version_2_of_the_long_document", "path |home/user/projects/site2/index", "a |2019-2020-2021-2022-2023", "of |10000000000000000000000"),
+    ),
 }
 
 
-def placed(text: Column, pattern: str, hits: Column) -> Column:
-    """Matches of a pattern as an array of (s, e, m): start, end and text; ``hits`` are its matches' texts."""
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+# Expressions are SQL texts: one call parses each, where columns would take thousands of calls into the JVM.
+
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("m")))).alias("out"))
+def bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` as a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(HITS).alias("out"))
-    walked = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, walked).otherwise(F.array().cast(HITS))
 
+def placed(text: str, pattern: str, hits: str) -> str:
+    """Matches of a pattern as an array of (s, e, m, b, a): start, end, text, and what stands before and after.
 
-def digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
+    ``hits`` are its matches' texts. The surroundings reach as far as the neighbouring matches at most. Ends are sums
+    of lengths: within blocks, and of whole blocks before, so that no sum walks over all matches.
+    """
+    total = lambda c: f"aggregate({c}, 0, (x, y) -> x + y)"
+    block = f"cast(i div {BLOCK} as int)"
+    out = f"transform(own, (m, i) -> named_struct('s', ends[i] - length(m), 'e', ends[i], 'm', m, 'b', right(gaps[i], {CONTEXT}), 'a', left(gaps[i + 1], 1)))"
+    out = bound(f"transform(lens, (x, i) -> before[{block}] + {total(f'slice(lens, {block} * {BLOCK} + 1, i % {BLOCK} + 1)')})", "ends", out)
+    out = bound(f"transform(sums, (x, i) -> {total('slice(sums, 1, i)')})", "before", out)
+    out = bound(f"transform(sequence(0, cast((size(lens) - 1) div {BLOCK} as int)), i -> {total(f'slice(lens, i * {BLOCK} + 1, {BLOCK})')})", "sums", out)
+    out = bound("zip_with(slice(gaps, 1, size(own)), own, (g, h) -> length(g) + length(h))", "lens", out)
+    out = bound(hits, "own", bound(f"split({text}, r'{pattern}', -1)", "gaps", out))
+    return f"if(size({hits}) > 0, {out}, cast(array() as {HITS}))"
 
 
-def luhn(d: Column) -> Column:
-    """Whether a string of digits has a right check digit: every second digit from the right counts twice."""
+def digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
 
-    def add(s: Column, i: Column) -> Column:
-        x = F.substring(d, -i, F.lit(1)).cast("int")
-        return s + F.when(i % 2 == 0, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), add) % 10 == 0
+def luhn(d: str) -> str:
+    """Whether a string of digits has a right check digit: every second digit from the right counts twice."""
+    add = f"(s, i) -> s + {bound(f'cast(substring({d}, -i, 1) as int)', 'x', 'if(i % 2 = 0, x * 2 - if(x > 4, 9, 0), x)')}"
+    return f"aggregate(sequence(1, length({d})), 0, {add}) % 10 = 0"
 
 
-def octets(m: Column) -> Column:
+def octets(m: str) -> str:
     """Whether all numbers in a text are 255 at most, whatever zeros they start with."""
-    parts = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
-    bare = F.transform(parts, lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
-    return F.forall(bare, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
+    bare = f"transform(regexp_extract_all({m}, '[0-9]+', 0), p -> regexp_replace(p, '^0+(?=.)', ''))"
+    return f"forall({bare}, p -> length(p) < 3 or (length(p) = 3 and p <= '255'))"
 
 
-def card_pieces(runs: Column) -> Column:
+def card_pieces(runs: str) -> str:
     """Runs of digits and separators, cut where two separators meet, which the card pattern can't pass."""
+    # A separator alone between digits becomes _, so that a piece is a run of one class of characters.
+    inner = bound("regexp_replace(r.m, '(?<=[0-9])[ -](?=[0-9])', '_')", "j", placed("j", "[0-9_]+", "regexp_extract_all(j, '[0-9_]+', 0)"))
+    piece = "named_struct('s', p.s + r.s, 'e', p.e + r.s, 'm', p.m, 'b', concat(r.b, p.b), 'a', concat(p.a, r.a))"
+    return f"flatten(transform({runs}, r -> transform({inner}, p -> {piece})))"
 
-    def pieces(r: Column) -> Column:
-        # A separator alone between digits becomes _, so that a piece is a run of one class of characters.
-        joined = F.regexp_replace(r["m"], "(?<=[0-9])[ -](?=[0-9])", "_")
-        inner = placed(joined, "[0-9_]+", F.regexp_extract_all(joined, F.lit("[0-9_]+"), F.lit(0)))
-        return F.transform(inner, lambda x: F.struct((x["s"] + r["s"]).alias("s"), (x["e"] + r["s"]).alias("e"), x["m"].alias("m")))
 
-    return F.flatten(F.transform(runs, pieces))
-
-
-def passes(kind: str, m: Column) -> Column:
-    n = F.length(digits(m))
+def passes(kind: str, m: str) -> str:
+    n = f"length({digits(m)})"
     if kind == "card":
-        return F.when(n.between(13, 19), luhn(digits(m))).otherwise(False)
+        return f"if({n} between 13 and 19, {bound(digits(m), 'd', luhn('d'))}, false)"
     if kind == "phone":
-        return n.between(9, 15)
-    return octets(m) if kind == "ip" else F.lit(True)
-
-
-def likely(kind: str, m: Column, x: dict[str, Column]) -> Column:
-    """Whether a looser span of digits that pass their test is a right one, by its form and the text around it."""
-    cue = x["cue"] == 1
-    if kind == "email":
-        plain = x["worded"] == 0
-        good = x["tail"].between(2, 24) & m.rlike("^[^@ (\\[{]*[A-Za-z]") & F.when(x["marks"] > 0, True).when(cue, True).when(plain, m.rlike(" @ ") & ~m.rlike("[^ ][.][^ ]*$")).otherwise(x["named"] == 1)
-    elif kind == "ip":
-        good = (x["marks"] > 0) | cue
-    elif kind == "card":
-        good = x["first"].between(2, 6) & ((x["kinds"] == 1) | cue)
-    else:
-        nanp = m.rlike("^[(][2-9][0-9]{2}[)][ .-]?[2-9][0-9]{2}[ .-][0-9]{4}$")
-        good = (x["zeros"] == 2) | ((x["zeros"] == 1) & x["digits"].between(9, 11)) | nanp | cue
-    return good & (x["edge"] == 0)
-
-
-def described(kind: str, text: Column, spans: Column, loose: bool) -> Column:
-    """Candidates with features; ``valid``: the kind's test on the digits; ``right``: base, or likely."""
-    count = lambda m, p: F.regexp_count(m, F.lit(p))
-
-    def describe(x: Column) -> Column:
-        m = x["m"]
-        before = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
-        after = F.substring(text, x["e"] + 1, F.lit(1))
-        values = {
-            "length": x["e"] - x["s"],
-            "digits": F.length(digits(m)),
-            "groups": count(m, "[0-9]+"),
-            "letters": count(m, "[A-Za-z]"),
-            "dots": count(m, "[.]"),
-            "seps": count(m, "[_/()-]"),
-            "spaces": count(m, " "),
-            "cue": before.rlike(f"(?i)(?:{CUES[kind]})[^A-Za-z0-9]*$").cast("int"),
-            "edge": before.rlike("[A-Za-z0-9]$").cast("int") + after.rlike("^[A-Za-z0-9]").cast("int"),
-            "loose": F.lit(int(loose)),
-            "tail": F.length(F.regexp_extract(m, "[A-Za-z]*$", 0)),
-            "marks": count(m, r"(?i)[(\[{](?:at|dot|[.])[)\]}]"),
-            "worded": count(m, "(?i) (?:at|dot) "),
-            "named": m.rlike("^[A-Za-z0-9]+[._%+0-9-]").cast("int"),
-            "kinds": F.size(F.array_distinct(F.regexp_extract_all(m, F.lit("[^A-Za-z0-9]+"), F.lit(0)))),
-            "zeros": F.length(F.regexp_extract(m, "^[(]?(0*)", 1)),
-            "lead": F.length(F.regexp_extract(m, "^[(]?([0-9]*)", 1)),
-            "first": F.coalesce(F.substring(digits(m), 1, 1).try_cast("int"), F.lit(-1)),
-        }
-        return F.struct(
-            F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), passes(kind, m).alias("valid"), (F.coalesce(likely(kind, m, values), F.lit(False)) if loose else F.lit(True)).alias("right"), *[values[f].cast("int").alias(f) for f in FEATURES]
-        )
-
-    return F.transform(spans, describe)
-
-
-def unlike(pattern: str):
-    return lambda x: ~x["m"].rlike(pattern)
+        return f"{n} between 9 and 15"
+    return octets(m) if kind == "ip" else "true"
+
+
+def by_kind(of: dict[str, str]) -> str:
+    """The expression of the row's kind."""
+    return "case kind " + " ".join(f"when '{k}' then {x}" for k, x in of.items()) + " end"
+
+
+#: Features of a candidate (kind, loose, m, b, a).
+VALUES = {
+    "length": "length(m)",
+    "digits": "length(regexp_replace(m, '[^0-9]', ''))",
+    "groups": "regexp_count(m, '[0-9]+')",
+    "letters": "regexp_count(m, '[A-Za-z]')",
+    "dots": "regexp_count(m, '[.]')",
+    "seps": "regexp_count(m, '[_/()-]')",
+    "spaces": "regexp_count(m, ' ')",
+    "cue": by_kind({k: f"b rlike '(?i)(?:{c})[^A-Za-z0-9]*$'" for k, c in CUES.items()}),
+    "edge": "cast(b rlike '[A-Za-z0-9]$' as int) + cast(a rlike '^[A-Za-z0-9]' as int)",
+    "loose": "loose",
+    "tail": "length(regexp_extract(m, '([A-Za-z]*)$', 1))",
+    "marks": r"regexp_count(m, r'(?i)[(\[{](?:at|dot|[.])[)\]}]')",
+    "worded": "regexp_count(m, '(?i) (?:at|dot) ')",
+    "named": "m rlike '^[A-Za-z0-9]+[._%+0-9-]'",
+    "kinds": "size(array_distinct(regexp_extract_all(m, '[^A-Za-z0-9]+', 0)))",
+    "zeros": "length(regexp_extract(m, '^[(]?(0*)', 1))",
+    "lead": "length(regexp_extract(m, '^[(]?([0-9]*)', 1))",
+    "first": "coalesce(try_cast(substring(regexp_replace(m, '[^0-9]', ''), 1, 1) as int), -1)",
+}
+FEATURES = tuple(VALUES)
+#: Whether a looser span that passes its kind's test is a right one, by its form and the text around it.
+LIKELY = {
+    "email": r"edge = 0 and tail between 2 and 24 and m rlike r'^[^@ (\[{]*[A-Za-z]' and case when marks > 0 or cue = 1 then true when worded = 0 then m rlike ' @ ' and not m rlike '[^ ][.][^ ]*$' else named = 1 end",
+    "ip": "edge = 0 and (marks > 0 or cue = 1)",
+    "card": "edge = 0 and first between 2 and 6 and (kinds = 1 or cue = 1)",
+    "phone": "edge = 0 and (zeros = 2 or (zeros = 1 and digits between 9 and 11) or m rlike '^[(][2-9][0-9]{2}[)][ .-]?[2-9][0-9]{2}[ .-][0-9]{4}$' or cue = 1)",
+    "secret": "(cue = 1 and letters > 0) or (m rlike '^[0-9a-f]+$' and length in (32, 40, 64) and letters > 4)",
+}
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """``rows`` (kind, loose, m, b, a) with their features and the weak label ``right``: base, or likely."""
+    rows = rows.withColumns({f: F.expr(f"cast({v} as int)") for f, v in VALUES.items()})
+    return rows.withColumn("right", F.expr(f"if(loose = 0, 1, cast(coalesce({by_kind(LIKELY)}, false) as int))"))
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's ``key`` and all its candidates, those of the base patterns with loose = 0."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    """Each row's ``key`` (as key__) and all__, its candidates that pass their kind's test, those of base patterns with loose = 0."""
     patterns = {"email": EMAIL, "ip": IP, "card": DIGITS, "phone": PHONE} | {f"loose_{k}": p for k, p in LOOSE.items()}
-    guards = {"email": body.contains("@"), "ip": body.contains("."), "phone": body.contains("+"), "loose_email": body.contains("@") | body.rlike(r"(?i)[(\[{ ]at[)\]} ]"), "loose_phone": body.contains("00") | body.contains("(")}
-    digit = body.rlike("[0-9]")
-    none = F.array().cast("array<string>")
-    rows = docs.select(
-        F.col(key).alias("key__"),
-        body.alias("text__"),
-        *[F.when(digit & guards[n] if n in guards and "email" not in n else guards.get(n, digit), F.regexp_extract_all(body, F.lit(p), F.lit(0))).otherwise(none).alias(f"hits_{n}") for n, p in patterns.items()],
-    )
-    rows = rows.select("key__", "text__", *[placed(F.col("text__"), p, F.col(f"hits_{n}")).alias(f"at_{n}") for n, p in patterns.items()])
-    rows = rows.withColumn("at_card", card_pieces(F.col("at_card")))
-    # What a base pattern matches whole is among its own candidates.
-    rows = rows.withColumns({f"at_loose_{k}": F.filter(f"at_loose_{k}", unlike(p)) for k, p in WHOLE.items()})
-    text_ = F.col("text__")
-    parts = [described(k, text_, F.col(f"at_{k}"), False) for k in KINDS] + [described(k, text_, F.col(f"at_loose_{k}"), True) for k in KINDS]
-    return rows.select("key__", F.concat(*parts).alias("all__"))
+    # What a text must hold for a pattern to match; cheaper than the pattern.
+    digit = "text__ rlike '[0-9]'"
+    guards = dict.fromkeys(patterns, digit) | {
+        "email": "contains(text__, '@')",
+        "loose_email": r"(contains(text__, '@') or text__ rlike r'(?i)[(\[{ ]at[)\]} ]')",
+        "ip": f"contains(text__, '.') and {digit}",
+        "phone": f"contains(text__, '+') and {digit}",
+        "loose_phone": f"(contains(text__, '00') or contains(text__, '(')) and {digit}",
+    }
+    rows = docs.select(F.col(key).alias("key__"), F.coalesce(F.col(text), F.lit("")).alias("text__"))
+    rows = rows.select("*", *[F.expr(f"if({guards[n]}, regexp_extract_all(text__, r'{p}', 0), cast(array() as array<string>))").alias(f"hits_{n}") for n, p in patterns.items()])
+    rows = rows.select("key__", *[F.expr(placed("text__", p, f"hits_{n}")).alias(f"at_{n}") for n, p in patterns.items()])
+
+    def of(kind: str, loose: int) -> str:
+        at = f"at_loose_{kind}" if loose else card_pieces("at_card") if kind == "card" else f"at_{kind}"
+        # What a base pattern matches whole is among its own candidates.
+        other = f" and not v.m rlike r'{WHOLE[kind]}'" if loose and kind in WHOLE else ""
+        return f"transform(filter({at}, v -> {passes(kind, 'v.m')}{other}), v -> named_struct('kind', '{kind}', 'loose', {loose}, 's', v.s, 'e', v.e, 'm', v.m, 'b', v.b, 'a', v.a))"
+
+    every = [of(k, 0) for k in KINDS] + [of(k, 1) for k in LOOSE]
+    return rows.select("key__", F.expr(f"concat({', '.join(every)})").alias("all__"))
+
+
+def clear_of_base(rows: DataFrame) -> DataFrame:
+    """``rows`` (id__, loose, s, e, …) with free: whether a looser span overlaps no base span of its text."""
+    base = lambda c: F.when(F.col("loose") == 0, F.col(c))
+    before = Window.partitionBy("id__").orderBy("s", "loose", "e").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("id__").orderBy(F.desc("s"), F.desc("loose"), F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    over = (F.coalesce(F.max(base("e")).over(before), F.lit(0)) > F.col("s")) | (F.coalesce(F.min(base("s")).over(after), F.col("e")) < F.col("e"))
+    return rows.withColumn("free", (F.col("loose") == 1) & ~over)
+
+
+def joined_spans(rows: DataFrame) -> DataFrame:
+    """Spans (id__, kind, s, e, score) of which none overlap: overlapping ones become one, of the best one's kind."""
+    w = Window.partitionBy("id__").orderBy("s", "e", "kind")
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new__", (F.coalesce(reach, F.lit(-1)) <= F.col("s")).cast("int"))
+    rows = rows.withColumn("group__", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max(F.struct(F.col("score"), (-F.col("s")).alias("first"), F.col("kind"))).alias("best")
+    return rows.groupBy("id__", "group__").agg(F.min("s").alias("s"), F.max("e").alias("e"), best).select("id__", "best.kind", "s", "e", "best.score")
 
 
 # --- boosted trees, trained on the driver ---
@@ -279,11 +313,12 @@ def calibrated(scores: list[float], labels: list[int]) -> float:
     return best
 
 
-def tree_column(tree: tuple, x: Column) -> Column:
+def tree_text(tree: tuple) -> str:
+    """A tree as a SQL expression over the features."""
     if tree[0] == "leaf":
-        return F.lit(float(tree[1]))
+        return f"{float(tree[1])!r}D"
     f, v, low, high = tree
-    return F.when(x[FEATURES[f]] <= v, tree_column(low, x)).otherwise(tree_column(high, x))
+    return f"if({FEATURES[f]} <= {v}, {tree_text(low)}, {tree_text(high)})"
 
 
 def examples(spark: SparkSession) -> dict[str, list[tuple[tuple, int]]]:
@@ -298,8 +333,9 @@ def examples(spark: SparkSession) -> dict[str, list[tuple[tuple, int]]]:
                     at.append((kind, len(start + before), len(start + before + span), label))
     # As one literal, not as rows from Python.
     rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("doc_id", "text"))
-    got = candidates(rows).select("key__", F.explode(F.filter("all__", lambda x: (x["loose"] == 1) & x["valid"])).alias("x")).select("key__", "x.*").collect()
-    out: dict[str, list[tuple[tuple, int]]] = {k: [] for k in KINDS}
+    loose = candidates(rows).select("key__", F.explode(F.filter("all__", lambda x: x["loose"] == 1)).alias("x")).select("key__", "x.*")
+    got = described(loose).select("key__", "kind", "s", "e", *FEATURES).collect()
+    out: dict[str, list[tuple[tuple, int]]] = {k: [] for k in ALL_KINDS}
     for r in sorted(got):
         kind, s, e, label = at[r["key__"]]
         if r["kind"] == kind and r["s"] < e and s < r["e"]:
@@ -307,79 +343,97 @@ def examples(spark: SparkSession) -> dict[str, list[tuple[tuple, int]]]:
     return out
 
 
-def fit(found: DataFrame) -> dict[str, tuple[float, list[tuple], float]]:
-    """Base score, trees and threshold of each kind, from ``EXAMPLES`` and ``SAMPLE`` candidates of it at most.
+def sampled(rows: DataFrame, most: int) -> list:
+    """Of each kind, base and looser, the rows of the ``most`` least hashes.
 
-    The sample is the least hashes of the candidates' features and place, the same at every run, half of it at
-    most base spans and half looser ones. Only candidates that pass the kind's test are in it, as the others are
-    never added; so are looser ones beside base spans only. A third is held out, and its looser ones give
-    the threshold.
+    Only hashes below a bound are collected, which lets about twice as many pass at any size of the input. Wholly equal
+    rows have one hash and count once.
     """
-    good = F.filter("all__", lambda x: (x["loose"] == 0) & x["valid"])
-
-    def clear(x: Column) -> Column:
-        # A row's candidates are compared in their array; exploding beside the array would copy it to each.
-        return x["valid"] & ((x["loose"] == 0) | ~F.exists(good, lambda g: (g["s"] < x["e"]) & (g["e"] > x["s"])))
+    counts = {(r["kind"], r["loose"]): r["n"] for r in rows.groupBy("kind", "loose").agg(F.count("*").alias("n")).collect()}
+    bounds = " ".join(f"when kind = '{k}' and loose = {i} then {min(1.0, 2 * most / n)!r}D" for (k, i), n in counts.items())
+    if not bounds:
+        return []
+    got = rows.where(F.expr(f"shiftrightunsigned(h, 12) / {float(1 << 52)!r}D <= case {bounds} end")).dropDuplicates(["kind", "loose", "h"]).select("kind", "loose", "h", "m", "b", "a")
+    got = described(got).select("kind", F.shiftrightunsigned("h", 12).alias("place"), "right", *FEATURES).collect()
+    out: dict[tuple, list] = {}
+    for r in sorted(got, key=lambda r: r["place"]):
+        out.setdefault((r["kind"], r["loose"]), []).append(r)
+    return [r for part in out.values() for r in part[:most]]
+
+
+def fit(found: DataFrame, free: DataFrame) -> dict[str, tuple[float, list[tuple], float]]:
+    """Base score, trees and threshold of each kind, from ``EXAMPLES`` and ``SAMPLE`` candidates of it at most.
 
-    rows = found.select("key__", F.explode(F.filter("all__", clear)).alias("x"))
+    ``found`` has all candidates by row, ``free`` the looser ones that clear base spans. The sample is the least
+    hashes of the candidates and their places, the same at every run, half of it at most base spans and half looser
+    ones. A third is held out, and its looser ones give the threshold.
+    """
+    base = found.select("key__", F.explode(F.filter("all__", lambda x: x["loose"] == 0)).alias("x")).select("key__", "x.*")
+    names = ("kind", "loose", "m", "b", "a", F.xxhash64("key__", "kind", "s", "e", "loose", "m", "b").alias("h"))
+    got = sampled(base.select(*names).unionByName(free.select(*names)), SAMPLE // 2)
     given = examples(found.sparkSession)
+    loose = FEATURES.index("loose")
     models = {}
-    for kind in KINDS:
-        mine = rows.where(F.col("x.kind") == kind).select(*[F.col(f"x.{f}") for f in FEATURES], F.col("x.right").cast("int").alias("label"), F.xxhash64("key__", "x.s", "x.e", "x.loose").alias("h"))
-        parts = [mine.where(F.col("loose") == i).orderBy("h", *FEATURES, "label").limit(SAMPLE // 2).collect() for i in (0, 1)]
-        data = given[kind] + [(tuple(r[f] for f in FEATURES), r["label"]) for part in parts for r in part]
+    for kind in ALL_KINDS:
+        data = given[kind] + [(tuple(r[f] for f in FEATURES), r["right"]) for r in got if r["kind"] == kind]
         train = [d for i, d in enumerate(data) if i % 3]
-        loose = FEATURES.index("loose")
         held = [d for i, d in enumerate(data) if not i % 3 and d[0][loose]]
-        base, trees = boost([x for x, _ in train], [y for _, y in train])
-        scores = [base + RATE * sum(value(t, x) for t in trees) for x, _ in held]
-        models[kind] = (base, trees, calibrated(scores, [y for _, y in held]))
+        start, trees = boost([x for x, _ in train], [y for _, y in train])
+        scores = [start + RATE * sum(value(t, x) for t in trees) for x, _ in held]
+        models[kind] = (start, trees, calibrated(scores, [y for _, y in held]))
     return models
 
 
-def find_personal_data(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def selected(free: DataFrame, models: dict[str, tuple[float, list[tuple], float]]) -> DataFrame:
+    """Looser spans (id__, kind, s, e, score) that their kind's trees score at its threshold or above."""
+    models = {k: x for k, x in models.items() if not math.isinf(x[2])}
+    if not models:
+        return free.select("id__", "kind", "s", "e", F.lit(0.0).alias("score")).where("false")
+    sums = {k: " + ".join([f"{start!r}D", *[f"{RATE}D * {tree_text(t)}" for t in trees]]) for k, (start, trees, _) in models.items()}
+    # Rounding must not part what the driver summed from what the executors sum.
+    least = {k: f"{x[2] - 1e-9!r}D" for k, x in models.items()}
+    rows = described(free).withColumn("total", F.expr(by_kind(sums))).where(F.expr(f"total >= {by_kind(least)}"))
+    return joined_spans(rows.select("id__", "kind", "s", "e", F.expr("1D / (1D + exp(-total))").alias("score")))
+
+
+def find_personal_data(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", models: dict | None = None) -> DataFrame:
     """Personal data of every row.
 
     Returns ``key``, n_email, n_ip, n_card, n_phone (base spans), base_sha256 (of the base spans as
-    kind:start:end by kind and start, comma-joined), spans (base and added ones, joined likewise) and
-    redactions (an array of kind, s, e, score; base spans score 1). Null texts count as empty and have none;
-    repeated rows and null keys are kept; extra columns aren't read.
+    kind:start:end by kind and start, comma-joined), spans (base and added ones, joined likewise), n_secret and
+    secrets (tokens that the model takes for secrets, joined likewise), n_private (all of these) and
+    redactions (an array of kind, s, e, score; base spans score 1).
+
+    ``models`` replaces the trees that are trained here. Null texts count as empty and have no spans; repeated
+    rows and null keys are kept, equal rows with equal results; extra columns aren't read; an empty table gives no rows.
+    Base matches are leftmost, so they have no ties; an added span that ties with another in score and start takes
+    the later kind's name. Texts of any length are searched whole: only one text's candidates must fit into a task.
     """
-    found = stored(spark, candidates(docs, key, text), "pii")
-    models = fit(found)
-
-    def score(x: Column) -> Column:
-        out = F.lit(-1.0)
-        for kind, (base, trees, least) in models.items():
-            # Each kind has trees of its own; a candidate runs those of its kind.
-            total = reduce(lambda a, t: a + F.lit(RATE) * tree_column(t, x), trees, F.lit(base))
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
-            ok = F.lit(False) if math.isinf(least) else total >= F.lit(least - 1e-9)
-            out = F.when(x["kind"] == kind, F.when(ok, p).otherwise(-1.0)).otherwise(out)
-        return out
-
-    rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
-    span = lambda x, s: F.struct(rank(x).alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), s.alias("score"))
-    rows = found.select(
-        F.col("key__"),
-        F.array_sort(F.transform(F.filter("all__", lambda x: (x["loose"] == 0) & x["valid"]), lambda x: span(x, F.lit(1.0)))).alias("base"),
-        F.filter("all__", lambda x: (x["loose"] == 1) & x["valid"]).alias("more"),
-    )
-    # A looser span must clear all base spans.
-    free = F.filter(
-        F.array_sort(F.transform("more", lambda x: span(x, score(x)))),
-        lambda x: (x["score"] > 0) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])),
-    )
-    rows = rows.withColumn("added", F.when(F.size("more") > 0, free).otherwise(F.filter("base", lambda b: F.lit(False))))
-    rows = rows.withColumn("all", F.array_sort(F.concat("base", "added")))
-    of = lambda kind: lambda x: x["kind"] == kind
-    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+    found = stored(spark, candidates(docs, key, text).withColumn("id__", F.monotonically_increasing_id()), "pii")
+    some = found.where(F.exists("all__", lambda x: x["loose"] == 1)).select("id__", "key__", F.explode("all__").alias("x")).select("id__", "key__", "x.*")
+    free = stored(spark, clear_of_base(some).where("free").drop("free"), "pii-free")
+    models = models or fit(found, free)
+    added = stored(spark, selected(free, models), "pii-added")
+    n = added.count()
+    added = added.groupBy("id__").agg(F.collect_list(F.struct("kind", "s", "e", "score")).alias("added"))
+    added = F.broadcast(added) if n <= BROADCAST_SPANS else added
+
+    rank = f"array_position(array({', '.join(repr(k) for k in ALL_KINDS)}), x.kind)"
+    span = lambda c, score: f"transform({c}, x -> named_struct('rank', {rank}, 's', x.s, 'e', x.e, 'kind', x.kind, 'score', {score}))"
+    base = F.expr(f"array_sort({span('filter(all__, x -> x.loose = 0)', '1D')})")
+    rows = found.select("id__", "key__", base.alias("base")).join(added, "id__", "left")
+    rows = rows.withColumn("all", F.expr(f"if(added is null, base, array_sort(concat(base, {span('added', 'x.score')})))"))
+    joined = lambda c: f"array_join(transform({c}, x -> concat_ws(':', x.kind, cast(x.s as string), cast(x.e as string))), ',')"
+    known, secrets = "filter(all, x -> x.kind <> 'secret')", "filter(all, x -> x.kind = 'secret')"
     return rows.select(
         F.col("key__").alias(key),
-        *[F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(joined("base"), 256).alias("base_sha256"),
-        joined("all").alias("spans"),
-        F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["score"].alias("score"))).alias("redactions"),
+        *[F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS],
+        F.expr(f"sha2({joined('base')}, 256)").alias("base_sha256"),
+        F.expr(joined(known)).alias("spans"),
+        F.expr(f"cast(size({secrets}) as long)").alias("n_secret"),
+        F.expr(joined(secrets)).alias("secrets"),
+        F.expr("cast(size(all) as long)").alias("n_private"),
+        F.expr("transform(all, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'score', x.score))").alias("redactions"),
     )
 
 
