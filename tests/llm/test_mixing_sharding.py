@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import common, mixing, sharding
 
@@ -12,7 +13,7 @@ def test_filled():
     assert mixing.filled([], [], 0, 3) == []
 
 
-@pytest.mark.parametrize("block", [7, 1024])
+@pytest.mark.parametrize("block", [7, None])
 def test_mix_of_documents(spark, small, block):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = mixing.mix(spark, docs, block_words=block).collect()
@@ -27,7 +28,8 @@ def test_mix_of_documents(spark, small, block):
     for i, source in enumerate(sorted(by)):
         group = by[source]
         assert group[0]["source_size"] == sum(r["size"] for r in group)
-        assert sum(r["taken"] for r in group) == int(group[0]["target"]), (i, source)
+        # A few blocks short of the target at most.
+        assert 0 <= group[0]["target"] - sum(r["taken"] for r in group) < 4 * (block or 1), (i, source)
 
 
 def test_schedule_is_even(spark):
@@ -43,6 +45,64 @@ def test_schedule_is_even(spark):
     assert all(v == list(range(len(v))) for v in ranks.values())
 
 
+def brute_mix(rows, targets, block):
+    """Words taken of each (source_no, start) by walking the slots in plain Python."""
+    total = sum(targets)
+    n = -(-int(total) // block) if total == int(total) else int(total // block) + 1
+    bounds = [int(sum(targets[: i + 1]) / total * mixing.POINTS) for i in range(len(targets))]
+    used, taken, ranges = Counter(), Counter(), defaultdict(list)
+    for r in rows:
+        if r["size"]:
+            ranges[r["source_no"]] += [(r["source_no"], r["start__"])] * r["size"]
+    assert [r for v in ranges.values() for r in v] and all([x[1] for x in v] == sorted(x[1] for x in v) for v in ranges.values())
+
+    def take(s, a, b):
+        for w in range(a, min(b, int(targets[s]))):
+            taken[ranges[s][w % len(ranges[s])]] += 1
+
+    for i in range(n):
+        point = i * mixing.GOLDEN % mixing.POINTS
+        s = next((k for k, b in enumerate(bounds) if point < b), len(targets) - 1)
+        take(s, used[s] * block, (used[s] + 1) * block)
+        used[s] += 1
+    for s in range(len(targets)):
+        if used[s] < mixing.LEAST_SLOTS:
+            take(s, used[s] * block, int(targets[s]))
+    return taken
+
+
+@pytest.mark.parametrize("block", [50, 1])
+def test_slots_decide_what_is_taken(spark, small, block, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")))
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 3)
+
+    def taken():
+        rows, plan, targets = mixing.placed(spark, docs, (5.0, 2.0, 1.0), 1.0, 3.0, 17, "source", "text", ("doc_id",))
+        rows = rows.orderBy("source_no", "start__").collect()
+        want = brute_mix(rows, targets, block)
+        got = {r["doc_id"]: r["taken"] for r in mixing.mix(spark, docs, block_words=block).collect()}
+        assert got == {r["kept__0"]: want[r["source_no"], r["start__"]] * (r["size"] > 0) for r in rows}
+        return got
+
+    golden = taken()
+    if block > 1:
+        # Another sequence of points gives another mix.
+        monkeypatch.setattr(mixing, "GOLDEN", mixing.POINTS // 2)
+        assert taken() != golden
+
+
+def test_mixed_blocks_are_the_mix(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = mixing.mixed_blocks(spark, docs).collect()
+    taken = Counter()
+    for r in rows:
+        taken[r["doc_id"]] += r["last"] - r["first"]
+    got = {r["doc_id"]: r for r in mixing.mix(spark, docs).collect()}
+    assert taken == Counter({k: r["taken"] for k, r in got.items() if r["taken"]})
+    for r in rows:
+        assert got[r["doc_id"]]["first_slot"] <= r["slot"] and 0 <= r["first"] < r["last"] <= got[r["doc_id"]]["size"]
+
+
 def test_mix_edges(spark, odd_docs, no_docs):
     assert mixing.mix(spark, no_docs).count() == 0
     rows = mixing.mix(spark, odd_docs, block_words=16).collect()
