@@ -71,9 +71,29 @@ def test_chain_sees_out_of_fold_predictions():
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["red", "blue", "green", "idiot" if i % 3 == 0 else "kind"], 12)) for i in range(300)]
     toxic = np.array([float("idiot" in t) for t in texts])
-    rows = toxicity.Rows(texts)
-    chain = toxicity.fit_chain(rows, toxicity.category_labels(texts, toxic, rows))
-    assert [len(v) for _, v, _ in chain] == [0, 1, 2]
+    rows = toxicity.Rows([toxicity.hashed_words(t) for t in texts])
+    targets = toxicity.category_labels(toxic, rows)
+    assert (targets[:, 0] == toxic).all() and (targets[:, -1] == toxic).all()
+    chain, seen = toxicity.fit_chain(rows, targets)
+    assert [len(v) for _, v, _ in chain] == [0, 1, 2, 3]
+    # A row's predictions come from models that didn't see it: with its label turned, they stay.
+    other = toxic.copy()
+    other[0] = 1 - other[0]
+    turned = np.column_stack([*targets[:, :3].T, other])
+    assert (toxicity.fit_chain(rows, turned)[1][0, :3] == seen[0, :3]).all()
+    assert abs(toxicity.fit_chain(rows, turned)[1][0, 3] - seen[0, 3]) < 1e-12
+
+
+def test_earlier_categories_decide_toxic(spark, small):
+    sf_dir = small.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain, cut = toxicity.fit(spark, docs, labels, "doc_id", "text", "toxic")
+    flags = lambda c: {r["doc_id"] for r in toxicity.score_toxicity(spark, docs, labels, chain=(c, cut)).where("toxic").collect()}
+    whole, deaf = flags(chain), flags([(w, np.zeros_like(v), b) for w, v, b in chain])
+    assert len(whole ^ deaf) > 0.1 * len(whole), (len(whole), len(deaf), len(whole ^ deaf), cut, [v for _, v, _ in chain])
+    for c, name in enumerate(toxicity.CATEGORIES[:3]):
+        # Every category before the last has both kinds of rows, and its own weight in the last model.
+        assert chain[3][1][c] != 0, name
 
 
 def test_toxicity_edges(spark, odd_docs, no_docs):
