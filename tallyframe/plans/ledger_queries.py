@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fallback, ledger, review, solver, templates
 from ..sources import derived
 from .inputs_sql import LEDGER_RAW, REVIEWS, TEMPLATES, cased, quoted
+from .parser_queries import AS_OF
 from .solver_queries import _CASE3 as CASE3
 
 
@@ -94,9 +95,12 @@ ASKED = ("Date|Description|Money out|Money in|Balance", "Date|Details|Amount", "
 
 
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = derived.table(spark, sf_dir, "supplier").select(
+    k = F.col("s_suppkey")
+    one, two = (k % 5 + 1).cast("string"), (F.floor(k / 5) % 5 + 1).cast("string")
+    name = derived.cased(k, 4, F.concat(F.lit("BRAND#"), one, two), F.concat(F.lit("brand#"), one), F.concat(F.lit("#"), one, two), F.lit("nowhere"))
+    asked = derived.table(spark, sf_dir, "supplier").withColumn("provider", name).select(
         F.col("s_suppkey").alias("request_id"),
-        F.concat(F.lit("BRAND#"), (F.col("s_suppkey") % 5 + 1).cast("string"), (F.floor(F.col("s_suppkey") / 5) % 5 + 1).cast("string")).alias("provider"),
+        F.col("provider"),
         F.split(derived.cased(F.col("s_suppkey"), 5, *[F.lit(a) for a in ASKED]), r"\|").alias("headers"),
     )
     return templates.match(asked, derived.templates(spark, sf_dir), derived.template_versions(spark, sf_dir))
@@ -119,48 +123,64 @@ def metric_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ready-made tables (doc_id, engine, row, cells): four engines read parts of the accounts, with differing headers."""
-    rows = derived.ledger_raw(spark, sf_dir).where("account % 2 = 0")
-    k = F.col("tx_key")
-    money_in = F.when(k % 2 == 1, F.col("amount").cast("string")).otherwise("")
-    money_out = F.when(k % 2 == 0, F.col("amount").cast("string")).otherwise("")
-    cells = F.array(F.when(k % 4 == 0, F.lit("")).otherwise(F.date_format("tx_date", "dd/MM/yyyy")), F.when(k % 31 == 0, F.lit("Opening balance")).otherwise(F.col("description")), money_in, money_out, F.col("balance").cast("string"))
-    body = rows.select(F.col("account").alias("doc_id"), (F.col("seq") + 2).alias("row"), cells.alias("cells"))
-    heads = rows.select(F.col("account").alias("doc_id")).distinct()
-    title = heads.select("doc_id", F.lit(0).alias("row"), F.when(F.col("doc_id") % 3 == 0, F.split(F.lit("Your|account|at|a|glance"), r"\|")).otherwise(F.split(F.lit(fallback_header()), r"\|")).alias("cells"))
-    second = heads.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("row"), F.split(F.lit(fallback_header()), r"\|").alias("cells"))
-    whole = title.unionByName(second).unionByName(body)
-    engines = F.filter(F.array(F.when(F.col("doc_id") % 4 == 0, F.lit(0)), F.when(F.col("doc_id") % 6 == 0, F.lit(1)), F.lit(2)), lambda e: e.isNotNull())
-    return whole.withColumn("engine", F.explode(engines))
-
-
-def fallback_header() -> str:
-    return "Date|Description|Money in|Money out|Balance"
+    """Ready-made tables (doc_id, engine, table, row, cells) of all accounts, read by some of five engines.
+
+    Dates are empty, unreadable or in three formats; both amount columns may hold one; markers and summaries stand in the
+    description or in another cell; tables have a title, two, or no header.
+    """
+    rows = derived.ledger_raw(spark, sf_dir)
+    k, doc = F.col("tx_key"), F.col("account")
+    plain = F.date_format("tx_date", "dd/MM/yyyy")
+    shown = derived.cased(F.floor(k / 2), 6, F.lit(""), F.lit("pending"), F.date_format("tx_date", "dd MMM yyyy"), F.date_format("tx_date", "yyyy-MM-dd"), plain, plain)
+    both, none = k % 9 == 0, k % 23 == 0
+    money_in = F.when(none | ~(both | (k % 2 == 1)), "").otherwise(F.col("amount").cast("string"))
+    money_out = F.when(none, "").when(both, (F.col("amount") + 1).cast("string")).when(k % 2 == 0, F.col("amount").cast("string")).otherwise("")
+    swapped = doc % 5 == 0
+    text = F.when(k % 31 == 0, F.lit("Opening balance")).otherwise(F.col("description"))
+    note = F.when(k % 37 == 0, "Closing balance").when(k % 41 == 0, "ab/fx").when(k % 43 == 0, "b/f")
+    cells = F.array(shown, text, F.when(swapped, money_out).otherwise(money_in), F.when(swapped, money_in).otherwise(money_out), F.col("balance").cast("string"), note)
+    body = rows.select(doc.alias("doc_id"), (F.col("seq") >= 5).cast("int").alias("table"), (F.col("seq") + 10).alias("row"), cells.alias("cells"))
+    docs, d = rows.select(doc.alias("doc_id")).distinct(), F.col("doc_id")
+    header = F.split(F.when(d % 5 == 0, "Date|Description|Money out|Money in|Balance|Remarks").otherwise("Date|Description|Money in|Money out|Balance|Remarks"), r"\|")
+    title = F.split(F.lit("Your|account|at|a|glance|now"), r"\|")
+    line = lambda table, row, cells: docs.select("doc_id", F.lit(table).alias("table"), F.lit(row).alias("row"), cells.alias("cells"))
+    tops = line(0, 0, title).where((d % 3 == 0) | (d % 7 == 0)).unionByName(line(0, 1, title).where(d % 7 == 0))
+    tops = tops.unionByName(line(0, 2, header)).unionByName(line(1, 14, header).where(F.floor(d / 4) % 2 == 0))
+    engines = F.filter(F.array(F.when(d % 4 == 0, F.lit(0)), F.when(d % 6 == 0, F.lit(1)), F.when(d % 10 == 0, F.lit(2)), F.when(d % 5 == 1, F.lit(3)), F.lit(4)), lambda e: e.isNotNull())
+    return tops.unionByName(body).withColumn("engine", F.explode(engines))
 
 
 def fallback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions of the first engine that found any."""
-    return fallback.extract(raw_tables(spark, sf_dir)).select("doc_id", "engine", "row", "tx_date", "description", "amount", "direction", "balance", "confidence_amount", "confidence_date", "confidence_direction")
+    return fallback.extract(raw_tables(spark, sf_dir), AS_OF).select("doc_id", "engine", "row", "tx_date", "description", "amount", "direction", "balance", "confidence_amount", "confidence_date", "confidence_direction")
 
 
 def fallback_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fallback.extract(raw_tables(spark, sf_dir)).groupBy("doc_id").agg(F.min("engine").alias("engine"), F.count("*").alias("n_rows"))
+    return fallback.extract(raw_tables(spark, sf_dir), AS_OF).groupBy("doc_id").agg(F.min("engine").alias("engine"), F.count("*").alias("n_rows"))
 
 
-_REQUESTS = f"""asked AS (SELECT s_suppkey AS request_id, 'brand#' || (s_suppkey % 5 + 1)::VARCHAR || ((s_suppkey // 5) % 5 + 1)::VARCHAR AS p,
+_REQUESTS = f"""asked AS (SELECT s_suppkey AS request_id, CASE s_suppkey % 4 WHEN 3 THEN 'nowhere' WHEN 2 THEN '#' ELSE 'brand#' END || CASE WHEN s_suppkey % 4 < 3 THEN (s_suppkey % 5 + 1)::VARCHAR ELSE '' END
+    || CASE WHEN s_suppkey % 4 IN (0, 2) THEN ((s_suppkey // 5) % 5 + 1)::VARCHAR ELSE '' END AS p,
   list_filter(list_transform(string_split({cased("s_suppkey", tuple(quoted(a) for a in ASKED))}, '|'), lambda h: trim(lower(h))), lambda h: h <> '') AS want FROM supplier)"""
 
 _TABLES = f"""{LEDGER_RAW}, body AS (
-  SELECT account AS doc_id, seq + 2 AS row, CASE WHEN tx_key % 4 = 0 THEN NULL ELSE tx_date END AS shown,
-    CASE WHEN tx_key % 31 = 0 THEN 'Opening balance' ELSE description END AS description, amount, balance, CASE WHEN tx_key % 2 = 1 THEN 'CREDIT' ELSE 'DEBIT' END AS direction
-  FROM ledger_raw WHERE account % 2 = 0
-), filled AS (
-  SELECT *, last_value(shown IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row) AS tx_date FROM body
-), engines AS (SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 WHEN doc_id % 6 = 0 THEN 1 ELSE 2 END AS engine FROM body
-), taken AS (
-  SELECT b.doc_id, engine::INTEGER AS engine, b.row::INTEGER AS row, CASE WHEN engine = 2 THEN shown ELSE tx_date END AS tx_date, description, amount, direction, balance FROM filled b JOIN engines USING (doc_id)
-  WHERE NOT (description = 'Opening balance')
-)"""
+  SELECT account AS doc_id, seq + 10 AS row, seq >= 5 AS later, (tx_key // 2) % 6 AS kind, CASE WHEN (tx_key // 2) % 6 > 1 THEN tx_date END AS shown,
+    description, amount, balance, tx_key, tx_key % 31 = 0 OR tx_key % 37 = 0 OR (tx_key % 43 = 0 AND tx_key % 41 <> 0) AS summary, (tx_key % 41 = 0 OR tx_key % 43 = 0) AND tx_key % 37 <> 0 AS marker
+  FROM ledger_raw
+), engines AS (
+  SELECT doc_id, unnest([e for e in [CASE WHEN doc_id % 4 = 0 THEN 0 END, CASE WHEN doc_id % 6 = 0 THEN 1 END, CASE WHEN doc_id % 10 = 0 THEN 2 END, CASE WHEN doc_id % 5 = 1 THEN 3 END, 4] if e IS NOT NULL]) AS engine
+  FROM (SELECT DISTINCT doc_id FROM body)
+), dated AS (
+  SELECT *, last_value(shown IGNORE NULLS) OVER (PARTITION BY doc_id, later ORDER BY row) AS carried,
+    last_value(CASE WHEN NOT marker THEN shown END IGNORE NULLS) OVER (PARTITION BY doc_id, later ORDER BY row) AS carried_on
+  FROM body
+), kept AS (
+  SELECT b.doc_id, e.engine::INTEGER AS engine, b.row::INTEGER AS row, CASE WHEN engine = 0 AND kind = 0 THEN carried WHEN engine IN (1, 2) THEN carried_on ELSE shown END AS tx_date, b.description,
+    (CASE WHEN tx_key % 9 = 0 AND b.doc_id % 5 <> 0 THEN amount + 1 ELSE amount END)::DECIMAL(15,2) AS amount,
+    CASE WHEN tx_key % 9 = 0 THEN CASE WHEN b.doc_id % 5 = 0 THEN 'CREDIT' ELSE 'DEBIT' END WHEN tx_key % 2 = 1 THEN 'CREDIT' ELSE 'DEBIT' END AS direction, b.balance
+  FROM dated b JOIN engines e USING (doc_id)
+  WHERE NOT summary AND tx_key % 23 <> 0 AND (engine = 0 OR NOT marker) AND (engine > 2 OR CASE WHEN later THEN (doc_id // 4) % 2 = 0 ELSE doc_id % 7 <> 0 END)
+), taken AS (SELECT * FROM kept QUALIFY engine = min(engine) OVER (PARTITION BY doc_id))"""
 
 SQL = {
     "ledger_page": f"WITH {LEDGER_RAW} SELECT account, tx_key, tx_date, amount, status FROM ledger WHERE status = 'F' ORDER BY tx_date DESC, tx_key LIMIT 50 OFFSET 100",
@@ -186,15 +206,15 @@ SQL = {
         SELECT template_id, list_filter(list_transform(arg_max(headers, version_number), lambda h: trim(lower(h))), lambda h: h <> '') AS have FROM versions GROUP BY 1
       ), pairs AS (
         SELECT request_id, template_id, round((CASE WHEN len(want) = 0 OR len(have) = 0 THEN 0.5 ELSE 0.3 + 0.7 * len(list_intersect(want, have)) / len(list_distinct(list_concat(want, have)))::DOUBLE END)::DOUBLE, 4) AS score
-        FROM asked JOIN templates ON p = lower(provider) JOIN last USING (template_id) WHERE is_active)
+        FROM asked JOIN templates ON contains(lower(provider), p) JOIN last USING (template_id) WHERE is_active)
       SELECT request_id, template_id, score FROM pairs QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, template_id) = 1 AND score >= 0.5""",
     "review_stats": f"WITH {REVIEWS} SELECT count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'IN_REVIEW') AS in_review, count(*) FILTER (WHERE status = 'RESOLVED') AS resolved, count(*) FILTER (WHERE status = 'SKIPPED') AS skipped, count(*) AS total FROM reviews",
     "review_pending": f"WITH {REVIEWS} SELECT review_id, doc_id, priority FROM reviews WHERE status = 'PENDING' ORDER BY priority, created_at, review_id LIMIT 30 OFFSET 20",
     "cost_summary": "SELECT event_type AS engine, sum(value::DECIMAL(10,6))::DECIMAL(20,6) AS cost_usd, sum(event_id % 5 + 1)::BIGINT AS pages, count(*) AS calls FROM events GROUP BY 1",
     "metric_buckets": "WITH e AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in review.DOCUMENT_SECONDS) + "]) AS edge UNION ALL SELECT -1.0::DOUBLE) SELECT event_type AS engine, edge, count(*) FILTER (WHERE edge < 0 OR abs(value) * 10 <= edge) AS n FROM events, e GROUP BY 1, 2",
     "fallback_rows": f"""WITH {_TABLES} SELECT doc_id, engine, row, tx_date, description, amount, direction, balance,
-      (CASE engine WHEN 0 THEN 0.80 WHEN 1 THEN 0.82 ELSE 0.75 END)::DOUBLE AS confidence_amount, (CASE WHEN tx_date IS NULL THEN 0.30 WHEN engine = 0 THEN 0.80 WHEN engine = 1 THEN 0.82 ELSE 0.75 END)::DOUBLE AS confidence_date,
-      (CASE engine WHEN 2 THEN 0.85 ELSE 0.90 END)::DOUBLE AS confidence_direction FROM taken""",
+      (CASE WHEN engine = 0 THEN 0.80 WHEN engine < 3 THEN 0.82 ELSE 0.75 END)::DOUBLE AS confidence_amount, (CASE WHEN tx_date IS NULL THEN 0.30 WHEN engine = 0 THEN 0.80 WHEN engine < 3 THEN 0.82 ELSE 0.75 END)::DOUBLE AS confidence_date,
+      (CASE WHEN engine > 2 THEN 0.85 ELSE 0.90 END)::DOUBLE AS confidence_direction FROM taken""",
     "fallback_priority": f"WITH {_TABLES} SELECT doc_id, min(engine) AS engine, count(*) AS n_rows FROM taken GROUP BY 1",
 }
 

@@ -62,7 +62,7 @@ def table_column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines of documents are balance markers or summaries."""
-    rows = derived.doc_text(spark, sf_dir).select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 4)).alias("line", "text"))
+    rows = derived.doc_text(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     text = F.col("text")
     return rows.select("doc_id", "line", rules.is_balance_marker(text).alias("is_marker"), rules.is_summary_row(text).alias("is_summary"), rules.is_marker_word(text).alias("has_word"))
 
@@ -205,7 +205,7 @@ SQL = {
       ), e AS (SELECT *, min(CASE WHEN h <> '' AND {_TABLE["description"]} AND i IS DISTINCT FROM date_at THEN i END) OVER w AS text_at FROM d WINDOW w AS (PARTITION BY template_id, version_number)
       ) SELECT template_id, version_number, string_agg(CASE WHEN h = '' THEN '-' WHEN i = date_at THEN 'date' WHEN i = text_at THEN 'description' WHEN {_TABLE["paid_in"]} THEN 'paid_in'
         WHEN {_TABLE["withdrawn"]} THEN 'withdrawn' WHEN {_TABLE["balance"]} THEN 'balance' WHEN {_TABLE["amount"]} THEN 'amount' ELSE '-' END, ',' ORDER BY i) AS roles FROM e GROUP BY 1, 2""",
-    "summary_row_filter": f"""WITH {DOC_TEXT}, x AS (SELECT doc_id, (i - 1)::INTEGER AS line, trim(lower(string_split(text, chr(10))[i]), ' \t') AS t FROM (SELECT *, unnest(generate_series(1, least(4, len(string_split(text, chr(10)))))) AS i FROM doc_text))
+    "summary_row_filter": f"""WITH {DOC_TEXT}, x AS (SELECT doc_id, (i - 1)::INTEGER AS line, trim(lower(string_split(text, chr(10))[i]), ' \t') AS t FROM (SELECT *, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM doc_text))
       SELECT doc_id, line, {_any(fixed.BALANCE_MARKERS)} AS is_marker, {_any((*fixed.BALANCE_MARKERS, *fixed.SUMMARY_ROWS))} AS is_summary,
         contains(t, 'brought forward') OR contains(t, 'carried forward') OR contains(t, 'b/f') OR contains(t, 'c/f') AS has_word FROM x""",
     "segment_pages": f"WITH {_PAGES} SELECT doc_id, page_index, round(score, 4) AS score, CASE WHEN page_index = 0 THEN 1.0 ELSE round(least(score / 2, 1.0), 4) END::DOUBLE AS confidence, is_start, segment_index FROM z",
