@@ -58,15 +58,15 @@ def table_roles(headers: Column) -> Column:
     A later header of theirs falls through to the amounts. Blank headers and unknown ones are null.
     """
 
-    def step(acc: Column, text: Column) -> Column:
-        h = bare_header(text)
+    def step(acc: Column, h: Column) -> Column:
         role = F.when(h == "", F.lit(None).cast("string"))
         for name, words in fixed.TABLE_ROLES:
             free = ~F.array_contains(acc, name) if name in ("date", "description") else F.lit(True)
             role = role.when(holds(h, words) & free, name)
         return F.concat(acc, F.array(F.coalesce(role, F.lit(""))))
 
-    roles = F.aggregate(headers, F.array().cast("array<string>"), step)
+    # Bare headers come first, as a lambda's body is computed anew for each of its uses.
+    roles = F.aggregate(F.transform(headers, bare_header), F.array().cast("array<string>"), step)
     return F.transform(roles, lambda r: F.nullif(r, F.lit("")))
 
 

@@ -65,7 +65,7 @@ def extract(tables: DataFrame, as_of: date, doc: str = "doc_id", table: str = "t
     reader = F.element_at(F.array(*[F.lit(r) for r in READERS]), F.col("engine") + 1)
     rows = tables.withColumn("reader__", reader)
     rows = rows.withColumns({"scope__": F.when(F.col("reader__") < 2, F.col(table)).otherwise(-1), "texts__": F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit("")))})
-    rows = rows.withColumns({"own__": rules.table_roles(F.col("texts__")), "whole__": F.array_join("texts__", " ")})
+    rows = rows.withColumn("whole__", F.array_join("texts__", " "))
     scope = Window.partitionBy(doc, "engine", "scope__")
     w = scope.orderBy(table, row)
     low = F.lower("whole__")
@@ -73,8 +73,9 @@ def extract(tables: DataFrame, as_of: date, doc: str = "doc_id", table: str = "t
     rows = rows.withColumns({"at__": F.row_number().over(w), "n__": F.count("*").over(scope)})
     early = ((F.col("at__") == 1) & (F.col("n__") > 1)) | ((F.col("at__") == 2) & (F.col("n__") > 2))
     wide = (F.col("reader__") == 0) | (F.size("texts__") > 1)
-    ok = F.coalesce(is_header(F.col("own__")), F.lit(False)) & F.when(F.col("reader__") == 2, marks).otherwise(early & wide)
-    rows = rows.withColumn("ok__", ok)
+    # Only rows that may be headers are mapped.
+    rows = rows.withColumn("own__", F.when(F.when(F.col("reader__") == 2, marks).otherwise(early & wide), rules.table_roles(F.col("texts__"))))
+    rows = rows.withColumn("ok__", F.coalesce(is_header(F.col("own__")), F.lit(False)))
     rows = rows.withColumns({"header__": F.min(F.when(F.col("ok__"), F.col("at__"))).over(scope), "roles": F.first(F.when(F.col("ok__"), F.col("own__")), ignorenulls=True).over(w)})
     rows = rows.where(F.col("at__") > F.col("header__"))
     rows = rows.where((F.col("reader__") == 0) | ~rules.is_marker_word(F.col("whole__")))

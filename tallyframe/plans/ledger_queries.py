@@ -139,15 +139,22 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 31 == 0, F.lit("Opening balance")).otherwise(F.col("description"))
     note = F.when(k % 37 == 0, "Closing balance").when(k % 41 == 0, "ab/fx").when(k % 43 == 0, "b/f")
     cells = F.array(shown, text, F.when(swapped, money_out).otherwise(money_in), F.when(swapped, money_in).otherwise(money_out), F.col("balance").cast("string"), note)
-    body = rows.select(doc.alias("doc_id"), (F.col("seq") >= 5).cast("int").alias("table"), (F.col("seq") + 10).alias("row"), cells.alias("cells"))
-    docs, d = rows.select(doc.alias("doc_id")).distinct(), F.col("doc_id")
-    header = F.split(F.when(d % 5 == 0, "Date|Description|Money out|Money in|Balance|Remarks").otherwise("Date|Description|Money in|Money out|Balance|Remarks"), r"\|")
+    header = F.split(F.when(swapped, "Date|Description|Money out|Money in|Balance|Remarks").otherwise("Date|Description|Money in|Money out|Balance|Remarks"), r"\|")
     title = F.split(F.lit("Your|account|at|a|glance|now"), r"\|")
-    line = lambda table, row, cells: docs.select("doc_id", F.lit(table).alias("table"), F.lit(row).alias("row"), cells.alias("cells"))
-    tops = line(0, 0, title).where((d % 3 == 0) | (d % 7 == 0)).unionByName(line(0, 1, title).where(d % 7 == 0))
-    tops = tops.unionByName(line(0, 2, header)).unionByName(line(1, 14, header).where(F.floor(d / 4) % 2 == 0))
+    line = lambda table, row, cells: F.struct(table.cast("int").alias("table"), row.cast("int").alias("row"), cells.alias("cells"))
+    # An account's first row brings the titles and headers of its tables.
+    top = lambda table, row, cells, there: F.when((F.col("seq") == 0) & there, line(F.lit(table), F.lit(row), cells))
+    lines = F.array(
+        line(F.col("seq") >= 5, F.col("seq") + 10, cells),
+        top(0, 0, title, (doc % 3 == 0) | (doc % 7 == 0)),
+        top(0, 1, title, doc % 7 == 0),
+        top(0, 2, header, F.lit(True)),
+        top(1, 14, header, F.floor(doc / 4) % 2 == 0),
+    )
+    d = F.col("doc_id")
+    rows = rows.select(doc.alias("doc_id"), F.explode(F.array_compact(lines)).alias("line")).select("doc_id", "line.*")
     engines = F.filter(F.array(F.when(d % 4 == 0, F.lit(0)), F.when(d % 6 == 0, F.lit(1)), F.when(d % 10 == 0, F.lit(2)), F.when(d % 5 == 1, F.lit(3)), F.lit(4)), lambda e: e.isNotNull())
-    return tops.unionByName(body).withColumn("engine", F.explode(engines))
+    return rows.withColumn("engine", F.explode(engines))
 
 
 def fallback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
