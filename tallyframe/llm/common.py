@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,23 +21,24 @@ __all__ = ["buckets_for", "few", "in_slices", "packed", "recording", "remove", "
 BUCKET_ROWS = 1_000
 
 
-#: Lists that take the paths of the scratch tables made while they are here.
-_recorders: list[list[str]] = []
+#: The list that takes the paths of scratch tables made meanwhile, of each thread of work its own.
+_record: ContextVar[list[str] | None] = ContextVar("record", default=None)
 
 
 @contextlib.contextmanager
 def recording(paths: list[str]) -> Iterator[None]:
     """Adds to ``paths`` what scratch tables are made meanwhile."""
-    _recorders.append(paths)
+    token = _record.set(paths)
     try:
         yield
     finally:
-        _recorders.remove(paths)
+        _record.reset(token)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = new_path(spark, name)
-    for paths in _recorders:
+    paths = _record.get()
+    if paths is not None:
         paths.append(path)
     return path
 

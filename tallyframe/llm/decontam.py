@@ -22,9 +22,11 @@ from .common import in_slices, stored, words
 
 #: Words of one segment, about; a longer document is a segment of its own.
 SEGMENT_WORDS = 500_000
-#: Bytes of benchmark text that are searched at a time.
-BLOCK_BYTES = 16_000_000
-INDEX = "segment string, keys array<bigint>, starts array<bigint>, sizes array<bigint>, terms array<int>, counts array<int>, places binary"
+#: Phrases of the benchmark that are searched at a time, about, and those of one piece of an item.
+BLOCK_PHRASES, PIECE_PHRASES = 200_000, 10_000
+#: Fixed value: words, as ``common.words`` finds them.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+INDEX = "segment string, keys array<string>, starts array<bigint>, sizes array<bigint>, terms array<int>, counts array<int>, places binary"
 
 
 def build_index(docs: DataFrame, terms: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,7 +39,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], key: str = "doc_id", t
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number_of = TaskContext.get().partitionId(), count()
         keys, starts, sizes, found, at = [], [], [], [], 0
-        schema = pa.schema([("segment", pa.string()), ("keys", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("places", pa.binary())])
+        schema = pa.schema([("segment", pa.string()), ("keys", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("places", pa.binary())])
 
         def flush() -> pa.RecordBatch:
             nonlocal at
@@ -70,7 +72,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], key: str = "doc_id", t
         if keys:
             yield flush()
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(in_slices(index), INDEX)
+    return docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInArrow(in_slices(index), INDEX)
 
 
 def postings(row: dict) -> dict[int, np.ndarray]:
@@ -113,10 +115,10 @@ def windows(items: list[tuple], size: int) -> dict[tuple[bytes, ...], set]:
     return out
 
 
-RAW = pa.schema([("segment", pa.string()), ("ordinal", pa.int32()), ("k", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-RAW_DDL = "segment string, ordinal int, k long, n_words long, starts array<long>, lengths array<int>, items array<string>"
-FOUND = pa.schema([("k", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("match_starts", pa.list_(pa.int64())), ("match_lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-FOUND_DDL = "k long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, match_starts array<long>, match_lengths array<int>, items array<string>"
+RAW = pa.schema([("segment", pa.string()), ("ordinal", pa.int32()), ("k", pa.string()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+RAW_DDL = "segment string, ordinal int, k string, n_words long, starts array<long>, lengths array<int>, items array<string>"
+FOUND = pa.schema([("k", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("match_starts", pa.list_(pa.int64())), ("match_lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+FOUND_DDL = "k string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, match_starts array<long>, match_lengths array<int>, items array<string>"
 
 
 def digested(r: dict) -> dict:
@@ -129,6 +131,25 @@ def digested(r: dict) -> dict:
     return {"k": r["k"], "n_words": r["n_words"], "n_hit": hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest(), "contaminated": hit > 0, "match_starts": [s for s, _ in matches], "match_lengths": [n for _, n in matches], "items": items}
 
 
+def wanted(lists: dict[int, np.ndarray], plan: dict[int, list[tuple]]) -> Iterator[tuple]:
+    """The phrases whose two rarest terms a segment holds."""
+    for t in lists if len(lists) < len(plan) else plan:
+        if t in lists:
+            for x in plan.get(t, ()):
+                if len(x[1]) < 2 or x[0][x[1][1]] in lists:
+                    yield x
+
+
+def pieces(benchmark: DataFrame, size: int, item: str, item_text: str) -> DataFrame:
+    """Items (i, t, n, s) cut into pieces of ``PIECE_PHRASES`` phrases: t their words, n their phrases, s where they begin."""
+    low = F.translate(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").distinct()
+    rows = rows.select("i", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("w")).where("size(w) > 0")
+    rows = rows.select("i", "w", F.greatest(F.size("w") - size + 1, F.lit(1)).alias("all"))
+    rows = rows.select("i", "w", "all", F.explode(F.sequence(F.lit(0), F.col("all") - 1, F.lit(PIECE_PHRASES))).alias("s"))
+    return rows.select("i", F.array_join(F.slice("w", F.col("s") + 1, PIECE_PHRASES + size - 1), " ").alias("t"), F.least(F.col("all") - F.col("s"), F.lit(PIECE_PHRASES)).alias("n"), "s")
+
+
 def search(spark: SparkSession, docs: DataFrame, items: list[tuple], size: int, slop: int, key: str, text: str, whole: bool) -> DataFrame:
     """Matches of one block of items in every document: raw ones, or, where the block is the whole benchmark, digested."""
     phrases = windows(items, size)
@@ -137,12 +158,14 @@ def search(spark: SparkSession, docs: DataFrame, items: list[tuple], size: int,
     # One row per term of this block of the benchmark, so at most as many as it has words.
     counted = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
     often = {r["terms"]: r["n"] for r in counted.collect()}
-    plan = []
+    # By its rarest term: a segment looks up the phrases of terms that it holds, not all phrases.
+    plan: dict[int, list[tuple]] = {}
     for p, own in phrases.items():
         p = tuple(terms[w] for w in p)
         if all(t in often for t in p):  # else the phrase isn't in the corpus
-            plan.append((p, sorted(range(len(p)), key=lambda o: (often[p[o]], o)), sorted(own, key=str)))
-    plan = spark.sparkContext.broadcast(plan)
+            order = sorted(range(len(p)), key=lambda o: (often[p[o]], o))
+            plan.setdefault(p[order[0]], []).append((p, order, sorted(own, key=str)))
+    plan = spark.sparkContext.broadcast(plan)  # BLOCK_PHRASES phrases, about
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +175,7 @@ def search(spark: SparkSession, docs: DataFrame, items: list[tuple], size: int,
     def segment(row: dict) -> Iterator[pa.RecordBatch]:
         lists, starts = postings(row), np.array(row["starts"], np.int64)
         hits: dict[int, tuple[list, set]] = {}
-        for p, order, own in plan.value:
-            if p[order[0]] not in lists:
-                continue
+        for p, order, own in wanted(lists, plan.value):
             for s in find_phrase(lists, p, order, slop).tolist():
                 d = int(np.searchsorted(starts, s, "right")) - 1
                 if s < 0 or s + len(p) > starts[d] + row["sizes"][d]:
@@ -191,19 +212,22 @@ def find_contamination(
     items (ids as strings, sorted). ``slop`` 0 finds exact phrases, more finds proximity matches.
 
     Null or wordless texts and items have no windows. Null item ids count as hits but name no item. Repeated
-    rows are searched and returned each; extra columns aren't read. The benchmark is searched in blocks of
-    ``BLOCK_BYTES`` of text, so its size has no limit; each block reads the documents once.
+    rows are searched and returned each, and equal texts get equal results, so ties change nothing; ``key`` may be of
+    any type that a string can be cast back to; extra columns aren't read; an empty table gives no rows. A very long
+    text is a segment of its own. The benchmark is searched in blocks of ``BLOCK_PHRASES`` phrases, long items in
+    pieces, so its size has no limit; each block reads the documents once.
     """
-    wanted = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL").distinct()
-    total = wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    kind = docs.schema[key].dataType
+    cut = stored(spark, pieces(benchmark, size, item, item_text), "benchmark-pieces")
+    total = cut.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_PHRASES))
     parts = []
     if blocks > 1:  # segments must hold the same rows for every block
         docs = stored(spark, docs.select(key, text), "documents")
     for b in range(blocks):
-        # An item whole in one block: BLOCK_BYTES on average, read one block at a time.
-        mine = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        parts.append(search(spark, docs, [(r["i"], r["t"]) for r in mine.collect()], size, slop, key, text, blocks == 1))
+        # BLOCK_PHRASES on average, read one block at a time.
+        mine = cut if blocks == 1 else cut.where(F.pmod(F.xxhash64("i", "s", "t"), F.lit(blocks)) == b)
+        parts.append(search(spark, docs, [(r["i"], r["t"]) for r in mine.select("i", "t").collect()], size, slop, key, text, blocks == 1))
     found = parts[0]
     if blocks > 1:
         for p in parts[1:]:
@@ -217,7 +241,7 @@ def find_contamination(
                 yield pa.RecordBatch.from_pylist([digested(r) for r in batch.to_pylist()], FOUND)
 
         found = found.mapInArrow(in_slices(digest), FOUND_DDL)
-    return found.withColumnRenamed("k", key)
+    return found.withColumn("k", F.col("k").cast(kind)).withColumnRenamed("k", key)
 
 
 DIGEST = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -18,6 +18,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from .common import in_slices, words
 
@@ -63,7 +64,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
-OUT = "matches array<struct<license:string,template:int,line:int,lines:int,dice:double>>"
+MATCHES = DataType.fromDDL("array<struct<license:string,template:int,line:int,lines:int,dice:double>>")
 
 
 def bigrams(own: list[bytes]) -> Counter:
@@ -185,7 +186,8 @@ def scan_licenses(
             rows = [[dict(zip(("license", "template", "line", "lines", "dice"), x, strict=True)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(rows, kind)], names=["k", "matches"])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(in_slices(scan), f"k long, {OUT}")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = rows.mapInArrow(in_slices(scan), StructType([rows.schema["k"], StructField("matches", MATCHES)]))
     top = F.try_element_at("matches", F.lit(1))
     return rows.select(
         F.col("k").alias(key),

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import in_slices, stored
 
@@ -194,7 +195,8 @@ def score_quality(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
     Returns ``columns`` (``key`` alone by default), weak_good (posterior of the row's votes), score (probability
     of good quality by the linear scorer) and keep (score at ``least`` or above). Null and empty texts get no
     votes and are scored by the prior and the bias. Repeated rows and null keys are kept, extra columns pass only
-    if named. An empty table gives no rows.
+    if named, and none may be called weak_good, score or keep. Equal texts get equal votes and scores, so ties change
+    nothing. Texts of any length are read whole. An empty table gives no rows.
     """
     posterior, w, b = fit(spark, docs, key, text)
     columns = columns or [key]
@@ -215,8 +217,8 @@ def score_quality(spark: SparkSession, docs: DataFrame, key: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in inner], pa.array(good, pa.float64()), pa.array(score, pa.float64())], names=[*inner, "weak_good", "score"])
 
     rows = docs.select(*[F.col(c).alias(i) for c, i in zip(columns, inner, strict=True)], *([] if text in columns else [F.col(text).alias(body)]))
-    types = dict(rows.dtypes)
-    out = rows.mapInArrow(in_slices(run), ", ".join([*[f"{i} {types[i]}" for i in inner], "weak_good double, score double"]))
+    schema = StructType([*[rows.schema[i] for i in inner], StructField("weak_good", DoubleType()), StructField("score", DoubleType())])
+    out = rows.mapInArrow(in_slices(run), schema)
     return out.select(*[F.col(i).alias(c) for c, i in zip(columns, inner, strict=True)], "weak_good", "score", (F.col("score") >= least).alias("keep"))
 
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import in_slices, stored, words
 
@@ -198,7 +199,7 @@ def score_toxicity(
     texts have no words and get probability 0, never toxic. Without labels of both kinds nothing is toxic and
     probabilities are 0. Labels of repeated keys count once, as toxic if any is; a key's training text is its least
     one. Repeated rows and null keys are kept, equal rows with equal results, so ties change nothing; extra columns
-    aren't read; an empty table gives no rows. Texts of any length are read whole. ``key`` is an integer.
+    aren't read; an empty table gives no rows. Texts of any length are read whole.
     ``chain``, a pair of models and threshold, replaces what is trained here.
     """
     chain, cut = chain or fit(spark, docs, labels, key, text, label)
@@ -227,8 +228,8 @@ def score_toxicity(
                         out[i, c] = logistic(z[c] + heard(out[i, :c]) @ v + b)
             yield pa.RecordBatch.from_arrays([batch.column("k"), *[pa.array(out[:, c]) for c in range(len(CATEGORIES))]], names=["k", *[f"p_{c}" for c in CATEGORIES]])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    out = rows.mapInArrow(in_slices(run), "k long, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    out = rows.mapInArrow(in_slices(run), StructType([rows.schema["k"], *[StructField(f"p_{c}", DoubleType()) for c in CATEGORIES]]))
     return out.select(F.col("k").alias(key), *[f"p_{c}" for c in CATEGORIES], ((F.col("p_toxic") >= cut) & (F.col("p_toxic") > 0)).alias("toxic"))
 
 

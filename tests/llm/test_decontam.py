@@ -36,7 +36,8 @@ def test_passages_equal_brute_force(spark, small, monkeypatch):
     get = lambda: sorted((tuple(r) for r in decontam.find_contamination(spark, docs, items).select(*decontam.DIGEST).collect()), key=repr)
     assert get() == want
     assert any(r[5] for r in want)
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)  # the benchmark in blocks
+    monkeypatch.setattr(decontam, "BLOCK_PHRASES", 300)  # the benchmark in blocks, long items in pieces
+    monkeypatch.setattr(decontam, "PIECE_PHRASES", 7)
     monkeypatch.setattr(decontam, "SEGMENT_WORDS", 3000)
     assert get() == want
 
@@ -62,3 +63,16 @@ def test_proximity(spark, slop, found):
     docs = spark.createDataFrame([(1, "alpha extra beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     assert decontam.find_contamination(spark, docs, items, slop=slop).first()["contaminated"] is found
+
+
+def test_a_segment_visits_the_phrases_of_its_terms_only():
+    plan = {t: [((t, t + 1000), [0, 1], [t])] for t in range(500)}
+    assert list(decontam.wanted({}, plan)) == []
+    assert [x[2] for x in decontam.wanted({7: None, 1007: None, 8: None, 2000: None}, plan)] == [[7]]
+
+
+def test_keys_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "one two three"), (None, "three"), ("a", None)], "doc_id string, text string")
+    items = spark.createDataFrame([(1, "Two three"), (2, None), (3, "")], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in decontam.find_contamination(spark, docs, items).collect())
+    assert got == [("None", 1, 0), ("a", 0, 0), ("a", 3, 2)]
