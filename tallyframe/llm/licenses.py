@@ -18,7 +18,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from .common import in_slices, words
 
@@ -30,6 +30,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -56,15 +57,63 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Licensed under the 3-Clause BSD License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    "GPL-2.0-only": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU GPL version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ),
+    "LGPL-3.0-or-later": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the 2-Clause BSD License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is dedicated to the public domain under CC0 1.0 Universal.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-ND-4.0": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
-MATCHES = DataType.fromDDL("array<struct<license:string,template:int,line:int,lines:int,dice:double>>")
+MATCHES = ArrayType(StructType([StructField("license", StringType()), StructField("template", IntegerType()), StructField("line", IntegerType()), StructField("lines", IntegerType()), StructField("dice", DoubleType())]))
 
 
 def bigrams(own: list[bytes]) -> Counter:
@@ -174,8 +223,9 @@ def scan_licenses(
 
     Returns ``key``, license (the best match, the first by name on ties; null if none), dice, n_licenses and
     matches (the best of each license). Words are [0-9a-z] or non-ASCII after lower-casing A-Z. Null and empty
-    texts match nothing; repeated rows and null keys are kept; other columns aren't read. Templates are a
-    parameter held by each task, not a table.
+    texts match nothing; repeated rows and null keys are kept; other columns aren't read; texts of any length are scanned
+    whole; an empty table gives no rows. Equal scores go to fewer lines, then to the earlier line and template. Templates
+    are a parameter held by each task, not a table.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,3 +153,22 @@ def test_notices_inside_long_lines():
 def test_templates_of_one_word():
     scan = licenses.Scanner({"X": ("WTFPL",), "Y": ("Licensed under the WTFPL",)}, 0.8).scan
     assert scan("some words\nunder WTFPL only") == [("X", 0, 1, 1, 1.0)]
+
+
+VERSIONS = [
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-only"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0-or-later"),
+    ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+    ("Licensed under the Mozilla Public License, version 2.0.", "MPL-2.0"),
+    ("Released\nunder\nthe\nMIT\nLicense.", "MIT"),
+]
+
+
+def test_versions_are_told_apart_and_notices_may_wrap():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    for text, name in VERSIONS:
+        for t in (text, "Some words before. " + text + " And words after it, on the same line.", text.replace(" ", "\n")):
+            assert scanner.scan(t)[0][0] == name, t
