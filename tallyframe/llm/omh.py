@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import few, in_slices, packed, stored, words
 
-#: Words of a k-mer, k-mers of a sketch, sketches: two texts at similarity 0.8 share a sketch with 0.8^4, so
-#: they meet in none of 16 with a probability of 0.0002, at 0.9 of 3e-8.
+#: Words of a k-mer, k-mers of a sketch, sketches: two long texts at similarity 0.8 share a sketch with 0.8^4, so
+#: they meet in none of 16 with a probability of 0.0002, at 0.9 of 3e-8; at 51 k-mers it is 0.0003.
 K, TUPLE, SKETCHES = 5, 4, 16
+#: Texts of so many k-mers at most also meet by single k-mers, so that no pair of such texts is missed: sketches of few k-mers
+#: agree less often.
+SHORT = 50
 #: Bins of the signature, and the share of equal bins below which a pair isn't aligned: at similarity 0.8 the
 #: share has a standard deviation of 0.035.
 BINS, LEAST_BINS = 128, 0.65
@@ -99,6 +102,18 @@ def sketches(h: np.ndarray) -> np.ndarray:
         return out.view(np.int64)
 
 
+def prefix(h: np.ndarray, least: float) -> np.ndarray:
+    """The least k-mers by hash of a short text, so many that two short texts at ``least`` or above share one of them.
+
+    Sets of n k-mers at that similarity share at least ``least`` * n, so n less these and one more, in one order
+    for all texts, can't all differ.
+    """
+    n = len(h)
+    if n > SHORT:
+        return np.empty(0, np.int64)
+    return np.sort(h)[: n - int(np.ceil(least * n - 1e-9)) + 1].view(np.int64)
+
+
 def signature(h: np.ndarray) -> bytes:
     """A byte of the least hash of each bin, 0 for an empty one."""
     ranked = np.sort(h)
@@ -139,8 +154,8 @@ def similarity(a: list[bytes], b: list[bytes], least: float) -> float:
     return len(ends) / (total - len(ends))
 
 
-def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Every row's key and text id (md5; null for null), with sketches and signature of its text."""
+def signed(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """Every row's key and text id (md5; null for null), with sketches (behind them the k-mers of a short text) and signature of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +168,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                     continue
                 if i not in known:
                     h = hashes(tokens(t))
-                    known[i] = sketches(h), signature(h)
+                    known[i] = np.concatenate([sketches(h), prefix(h, least)]), signature(h)
                 sk.append(known[i][0])
                 sig.append(known[i][1])
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array(sk, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["k", "th", "sketches", "bins"])
@@ -279,7 +294,7 @@ def members_of(spark: SparkSession, signed_rows: DataFrame) -> DataFrame:
     """Texts in buckets of two and more: bucket, th, n (texts of the bucket), head (its least text id), bins."""
     texts = signed_rows.where("th IS NOT NULL").select("th", "sketches", "bins").dropDuplicates(["th"])
     texts = stored(spark, texts, "omh-texts")
-    rows = texts.select("th", F.posexplode("sketches").alias("band", "value")).select("th", F.xxhash64("band", "value").alias("bucket"))
+    rows = texts.select("th", F.posexplode("sketches").alias("band", "value")).select("th", F.xxhash64(F.least("band", F.lit(SKETCHES)), "value").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("th").alias("head")).where("n > 1")
     shared = rows.join(sizes, "bucket")
     return stored(spark, shared.join(texts.select("th", "bins"), "th"), "omh-members")
@@ -374,7 +389,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, least: float = 0.8, key:
     k-mers of ``least`` or more. Empty texts equal each other; a null text is in a class of its own. Rows that
     repeat wholly are returned each, with equal values. Extra columns aren't read.
     """
-    rows = stored(spark, signed(docs, key, text), "omh-rows")
+    rows = stored(spark, signed(docs, key, text, least), "omh-rows")
     labels = components(spark, links_of(spark, docs, rows, text, least))
     texts = rows.where("th IS NOT NULL").groupBy("th").agg(F.min("k").alias("k"))
     first = F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col("th"))

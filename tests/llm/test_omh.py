@@ -116,3 +116,28 @@ def test_components(spark):
     links = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in path], "a binary, b binary")
     got = {bytes(r["th"]): bytes(r["comp"]) for r in omh.components(spark, links).collect()}
     assert all(got[bytes([i])] == bytes([0]) for i in range(21)) and got[b"y"] == b"x"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=5, max_size=54), st.data())
+def test_short_texts_at_the_threshold_share_a_kmer_of_their_prefixes(own, data):
+    a = [str(x).encode() for x in own]
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, 3))):
+        i = data.draw(st.integers(0, len(b)))
+        b[i : i + data.draw(st.integers(0, 1))] = [b"new"] * data.draw(st.integers(0, 1))
+    x, y = omh.hashes(a), omh.hashes(b)
+    if omh.similarity(a, b, 0.8) >= 0.8 and max(len(x), len(y)) <= omh.SHORT:
+        assert set(omh.prefix(x, 0.8).tolist()) & set(omh.prefix(y, 0.8).tolist())
+
+
+def test_no_link_of_short_texts_is_lost(spark):
+    rng = random.Random(3)
+    texts = []
+    for g in range(120):
+        own = [f"g{g}w{i}" for i in range(rng.randrange(8, 30))]
+        texts += [" ".join(own), " ".join([*own, "more"])]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in omh.near_classes(spark, docs).collect()}
+    assert got == classes(rows) and len(set(got.values())) < len(rows) / 2 + 1
