@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..sources.scratch import scratch_path as new_path
 from ..sources.scratch import scratch_root
 
-__all__ = ["buckets_for", "few", "in_slices", "packed", "recording", "remove", "running_sum", "scratch_path", "scratch_root", "stored", "words"]
+__all__ = ["buckets_for", "few", "in_slices", "looked_up", "packed", "recording", "remove", "running_sum", "scratch_path", "scratch_root", "stored", "words"]
 
 #: Rows that one ranking window should hold; the number of buckets follows the row count.
 BUCKET_ROWS = 1_000
@@ -76,6 +76,18 @@ def buckets_for(rows: int) -> int:
     return max(1, min(-(-rows // BUCKET_ROWS), int(max(rows, 1) ** 0.5) + 1))
 
 
+def looked_up(df: DataFrame, key: str, by: str, table: DataFrame, cells: int) -> DataFrame:
+    """``df`` with the columns of ``table``, which has a row a ``key`` at most, or nulls; one key may have most rows of ``df``.
+
+    Rows of a key are dealt to ``cells`` by a hash of ``by``, and a row of the table goes to each cell that has any. ``df``
+    is read twice, so it should be stored.
+    """
+    cell = F.pmod(F.xxhash64(by), F.lit(cells))
+    dealt = df.withColumn("cell__", cell)
+    there = dealt.select(key, "cell__").where(F.col(key).isNotNull()).distinct().join(table, key)
+    return dealt.join(there, [key, "cell__"], "left").drop("cell__")
+
+
 def running_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column], weight: Column, out: str) -> DataFrame:
     """``out``: the sum of ``weight`` over the rows before this one within ``group``.
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, in_slices, packed, stored, words
+from .common import buckets_for, few, in_slices, looked_up, packed, stored, words
 
 #: Words of a k-mer, k-mers of a sketch, sketches: two long texts at similarity 0.8 share a sketch with 0.8^4, so
 #: they meet in none of 16 with a probability of 0.0002, at 0.9 of 3e-8; at 51 k-mers it is 0.0003.
@@ -287,6 +287,9 @@ def crossing_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[
                 if classes[i] != classes[j] and aligned_share(kmers[i], kmers[j], least) >= least - 1e-12:
                     found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
                     classes[classes == classes[i]] = classes[j]
+        if len(found) > 20_000:
+            yield from ordered_pairs(found)
+            found = set()
     yield from ordered_pairs(found)
 
 
@@ -324,17 +327,19 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, text: str,
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(th, comp) of every linked text: the least id it is connected to.
 
-    Labels move to the least neighbour's and then jump to the label of their label, so the rounds grow with
-    the logarithm of a component's width. Labels stay distributed; the driver sees counts.
+    Labels move to the least neighbour's or to the label of their label, so the rounds grow with the logarithm of
+    a component's width. Labels stay distributed; the driver sees counts. A text of many links and a label of many
+    texts are looked up in cells.
     """
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(spark, edges, "omh-edges")
     labels = stored(spark, edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("th"), "comp"), "omh-labels")
+    ends, texts = buckets_for(edges.count()), buckets_for(labels.count())
     while True:
-        around = edges.join(labels.select(F.col("th").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        moved = labels.join(around.select(F.col("a").alias("th"), "near"), "th").select("th", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = moved.join(labels.select(F.col("th").alias("comp"), F.col("comp").alias("next")), "comp", "left")
-        new = stored(spark, jump.select("th", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "omh-labels")
+        around = looked_up(edges, "b", "a", labels.select(F.col("th").alias("b"), "comp"), ends).groupBy("a").agg(F.min("comp").alias("near"))
+        jump = looked_up(labels, "comp", "th", labels.select(F.col("th").alias("comp"), F.col("comp").alias("next")), texts)
+        moved = jump.join(around.select(F.col("a").alias("th"), "near"), "th")
+        new = stored(spark, moved.select("th", F.col("comp").alias("old"), F.least("comp", "near", F.coalesce("next", "comp")).alias("comp")), "omh-labels")
         labels = new.select("th", "comp")
         if not new.where("old <> comp").limit(1).count():
             return labels
@@ -391,13 +396,14 @@ def near_classes(spark: SparkSession, docs: DataFrame, least: float = 0.8, key:
     """
     rows = stored(spark, signed(docs, key, text, least), "omh-rows")
     labels = components(spark, links_of(spark, docs, rows, text, least))
-    texts = rows.where("th IS NOT NULL").groupBy("th").agg(F.min("k").alias("k"))
+    texts = stored(spark, rows.where("th IS NOT NULL").groupBy("th").agg(F.min("k").alias("k")), "omh-first")
     first = F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col("th"))
-    linked = labels.join(texts, "th")
+    linked = stored(spark, labels.join(texts, "th"), "omh-linked")
     best = linked.groupBy("comp").agg(F.min(first).alias("best"))
-    linked = linked.join(best, "comp").select("th", "best")
+    linked = looked_up(linked, "comp", "th", best, buckets_for(linked.count())).select("th", "best")
     texts = texts.join(linked, "th", "left").select("th", F.coalesce("best", first).alias("best"))
-    out = rows.select("k", "th").join(texts, "th", "left")
+    # Many rows may share one text, and all of them may lack one.
+    out = looked_up(rows.select("k", "th"), "th", "k", texts, buckets_for(rows.count()))
     own = F.col("th").isNull()
     return out.select(
         F.col("k").alias(key),

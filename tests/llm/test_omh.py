@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyframe.llm import omh
+from tallyframe.llm import common, omh
 
 WORDS = st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), min_size=1, max_size=40)
 
@@ -141,3 +141,11 @@ def test_no_link_of_short_texts_is_lost(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in omh.near_classes(spark, docs).collect()}
     assert got == classes(rows) and len(set(got.values())) < len(rows) / 2 + 1
+
+
+def test_lookup_in_cells(spark):
+    rows = [("hot" if i % 3 else f"k{i}" if i % 2 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, i long")
+    table = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 200)]], "key string, v long")
+    got = {r["i"]: r["v"] for r in common.looked_up(df, "key", "i", table, 7).collect()}
+    assert got == {i: 1 if k == "hot" else i if k and i < 200 else None for k, i in rows}
