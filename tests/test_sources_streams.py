@@ -90,6 +90,16 @@ def test_balances_go_on_in_later_batches(spark, tmp_path):
     assert got == {10: (Decimal("95.00"), True), 20: (Decimal("1.00"), False), 11: (Decimal("105.00"), False), 21: (Decimal("3.00"), True)}
 
 
+def test_batches_share_partitions(spark, tmp_path):
+    schema = "doc int, v int"
+    source, out, log = str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c")
+    for sent in ([(1, 1), (2, 2)], [(3, 3), (11, 4)], [(2, 5), (2, 6)]):  # the last sends a document again
+        spark.createDataFrame(sent, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = ingest.read_files(spark, source, spark.createDataFrame([], schema).schema, max_files=1)
+        ingest.ingest(stream, lambda b: b.withColumn("shard", F.floor(F.col("doc") / 10)), out, log, "shard", "doc")
+    assert sorted((r["doc"], r["v"], r["shard"]) for r in spark.read.parquet(out).collect()) == [(1, 1, 0), (2, 5, 0), (2, 6, 0), (3, 3, 0), (11, 4, 1)]
+
+
 def test_windowed_counts(spark, tmp_path):
     rows = [(datetime(2024, 1, 1, 0, m), "a", 1.0) for m in (1, 2, 11)]
     spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "e"))
