@@ -162,3 +162,40 @@ def test_shard_edges(spark, odd_docs, no_docs):
     for r in rows:
         by[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def brute_shards(rows, weights):
+    """(shard, place) of (key, crc32, size) rows from the hashes' definition, in plain Python."""
+    import math
+    import struct
+
+    import xxhash
+
+    def hash52(*parts):
+        h = 42
+        for p in parts:
+            if p is not None:
+                h = xxhash.xxh64_intdigest(p, seed=h)
+        return h >> 12
+
+    out = []
+    for key, crc, size in rows:
+        text = b"null" if key is None else str(key).encode()
+        score = [(-math.log((hash52(text, struct.pack("<i", i)) + 0.5) / 2**52) / w, i) for i, w in enumerate(weights) if w > 0]
+        out.append((min(score)[1], hash52(*[None if v is None else struct.pack("<q", v) for v in (key, crc, size)])))
+    return out
+
+
+@pytest.mark.parametrize("weights", [(1.0,) * 8, (2.0, 0.0, 1.0, 4.0)])
+def test_shards_and_slots_equal_plain_python(spark, small, weights):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "a"), (5, None), (-1, "b")], docs.schema))
+    rows = sharding.assign_shards(spark, docs, weights).collect()
+    keys = [(r["doc_id"], r["text_crc32"], r["size"]) for r in rows]
+    want = brute_shards(keys, weights)
+    grown = brute_shards(keys, (*weights, sum(weights) / len(weights)))
+    by = defaultdict(list)
+    for r, (shard, place), (more, _) in zip(rows, want, grown, strict=True):
+        assert r["shard"] == shard and r["grown_shard"] == more
+        by[shard].append((place, r["slot"]))
+    assert all([slot for _, slot in sorted(v)] == list(range(len(v))) for v in by.values())
